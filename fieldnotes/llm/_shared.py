@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,10 +54,10 @@ def drop(*tables: DataFrame) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps; it does so when the driver collects its garbage."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees what Python held, the second what that held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -271,6 +271,7 @@ def spans(docs: DataFrame, output, schema: str, key: str = "doc_id", text: str =
 
     first = dealt.groupBy("_batch").applyInArrow(listed, "bucket long, batch long, hashes binary, twice binary")
     found = save(first.groupBy("bucket").applyInArrow(shared, "batch long, hashes binary"))
+    del first  # its shuffle files go only when nothing refers to it
     tidy(spark)
 
     sent = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
@@ -362,6 +363,7 @@ def spans(docs: DataFrame, output, schema: str, key: str = "doc_id", text: str =
     shape = "kind int, bucket long, batch long, a binary, b binary, c binary, d binary"
     by_batch = dealt.groupBy("_batch").cogroup(found.withColumnRenamed("batch", "_batch").groupBy("_batch"))
     second = save(by_batch.applyInArrow(contexts, shape))
+    del by_batch
     drop(found)
     tidy(spark)
     third = save(second.filter("kind = 0").groupBy("bucket").applyInArrow(compared, shape))
