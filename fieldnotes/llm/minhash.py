@@ -8,11 +8,16 @@ every coordinate fills, and two sets agree in a coordinate with probability equa
 Jaccard similarity, with strong concentration. Bands of ROWS coordinates make the candidates:
 at similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32, about 5e-6.
 
-Equal sets are one class. Links between classes are confirmed on full texts. A bucket (a
-band's value) is worked off by pivots: every member that is not yet in a pivot's component is
-compared with it; then the pivot leaves the bucket. The pivots of a bucket double each round,
-buckets within one component are done. So no link that a bucket offers between different
-components is lost, and a large group of near copies costs about one comparison per member.
+Equal sets are one class. Links between classes are confirmed on full texts. Every bucket (a
+band's value) first compares its members with its pivot, the member that shares most buckets
+with others. Buckets within one component are done then. Of the rest, those of at most SMALL
+members compare the pairs that are still in different components. Larger ones are dealt anew:
+if x isn't linked with the pivot p, then x and y can be linked only if they share a shingle
+that p lacks, or if x and y each share with p as much as they would have to share with each
+other. So the shingles that p lacks become new buckets (those that some unlinked member has),
+the few pairs of the second kind are compared, and the old bucket is closed. So no link that a
+bucket offers is lost, and a large group of near copies costs a few comparisons per member
+though most of its pairs may be just below the threshold.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing;
 fewer words than a shingle has are one shingle; repeated rows have equal sets, so one class;
@@ -35,6 +40,8 @@ from .graph import components
 SHINGLE = 5
 SKETCH = 128
 ROWS = 4
+#: Buckets of at most so many members compare their open pairs directly.
+SMALL = 16
 BATCH_BYTES = 4_000_000
 
 _SPACE = np.zeros(256, bool)
@@ -175,75 +182,109 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n_shingles long, set_key binary, bands array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataFrame:
-    """pairs: a, b; texts: id, text. The pairs whose full sets have 100 * shared >= percent * all."""
+def compare(pairs: DataFrame, texts: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataFrame:
+    """pairs: a, b, family; texts: id, text. Adds linked, shared, na, nb of the full sets and, for a family's pair, lacks: hashes of a's shingles that b lacks."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(it):
         last, held = None, set()
         for batch in it:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
+            a, b, family = (batch.column(i).to_pylist() for i in range(3))
+            out = []
             for i in range(len(a)):
-                x = shingles(batch.column(2)[i].as_py(), k)
+                x = shingles(batch.column(3)[i].as_py(), k)
                 if b[i] != last:
-                    last, held = b[i], shingles(batch.column(3)[i].as_py(), k)
+                    last, held = b[i], shingles(batch.column(4)[i].as_py(), k)
                 shared = len(x & held)
-                keep.append(bool(x) and 100 * shared >= percent * (len(x) + len(held) - shared))
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+                linked = bool(x) and 100 * shared >= percent * (len(x) + len(held) - shared)
+                more = [xxhash.xxh64_intdigest(" ".join(g)) - 2**63 for g in x - held] if family[i] else None
+                out.append((linked, shared, len(x), len(held), more))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["a", "b", "family", "linked", "shared", "na", "nb", "lacks"])
 
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "family", "ta", "tb").mapInArrow(run, "a long, b long, family boolean, linked boolean, shared long, na long, nb long, lacks array<long>")
 
 
-def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
+def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (id, comp) after more links (a, b); an id without a row is its own component."""
+    if comp is None:
+        return components(links)
+    label = lambda df, c: df.join(comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")), c, "left")
+    both = save(label(label(links, "a"), "b").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    step = components(both)
+    moved = comp.join(step.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return save(moved.unionByName(step.join(comp.select("id"), "id", "left_anti")))
+
+
+def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", k: int = SHINGLE, small: int = SMALL) -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable by links), kept (key = component_id). key: a long without nulls."""
+    spark = docs.sparkSession
     signed = save(signatures(docs, key, text, k))
     classes = save(signed.filter("set_key is not null").groupBy("set_key").agg(F.min(key).alias("id")))
     heads = classes.join(signed.select("set_key", F.col(key).alias("id"), "bands"), ["set_key", "id"]).dropDuplicates(["id", "set_key"])
     rows = save(heads.select("id", F.explode("bands").alias("bucket")))
-    shared = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
-    members = save(rows.join(shared, "bucket"))
-    drop(rows, shared)
-    tidy(docs.sparkSession)
-    seen = save(members.select("id").distinct())
+    shared = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    found = save(rows.join(shared, "bucket"))
+    weight = save(found.groupBy("id").agg(F.sum("n").alias("weight")))
+    members = save(found.select("id", "bucket").join(weight, "id"))
+    drop(rows, shared, found)
     # the texts of classes that share a bucket, once each
-    texts = save(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(seen, "id").join(signed.select(F.col(key).alias("id"), "set_key").join(classes, ["set_key", "id"]).select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    links = comp = None
-    turn = 0
+    mine = signed.select(F.col(key).alias("id"), "set_key").join(classes, ["set_key", "id"]).select("id").distinct()
+    texts = save(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(save(mine.join(weight.select("id"), "id")), "id").dropDuplicates(["id"]))
+    del heads, mine
+    tidy(spark)
+    comp, turn = None, 0
     while True:
-        now = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        now = save(now)
-        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2**turn))
-        open_ = save(now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket"))
+        now = save(members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        best = F.max(F.struct("weight", (-F.col("id")).alias("i"), "comp")).alias("p")
+        open_ = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"), best).filter("x < y")
+        open_ = save(open_.select("bucket", "n", (-F.col("p.i")).alias("pivot"), F.col("p.comp").alias("pivot_comp")))
         if open_.isEmpty():
             break
-        live = save(now.join(open_, "bucket").withColumn("part", part))
-        pivots = save(live.groupBy("bucket", "part").agg(F.min("id").alias("pivot")))
-        own = pivots.join(live.select(F.col("bucket"), F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp")).distinct(), ["bucket", "pivot"])
-        own = save(own.select("bucket", "pivot", "pivot_comp"))
-        tried = live.join(own, "bucket").filter("comp <> pivot_comp").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        found = save(confirm(save(tried), texts, percent, k))
-        old, members = members, save(live.join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("id", "bucket"))
-        links = found if links is None else save(links.unionByName(found))
-        if comp is None:
-            comp = components(links)
-        elif not found.isEmpty():
-            near = lambda c: found.join(comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")), c, "left")
-            both = near("a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-            step = components(both.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-            moved = comp.join(step.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-            fresh = step.join(comp.select("id"), "id", "left_anti")
-            comp = save(moved.unionByName(fresh))
-        drop(old, now, open_, live, own)
-        tidy(docs.sparkSession)
+        live = save(now.join(open_, "bucket"))
+        large = F.col("n") > small
+        pivots = live.filter(F.col("id") != F.col("pivot"))
+        pairs = pivots.filter(large if turn else F.lit(True)).filter((F.col("comp") != F.col("pivot_comp")) | large).select(F.col("id").alias("a"), F.col("pivot").alias("b"), large.alias("family"))
+        if turn:
+            few = live.filter(~large).select("bucket", "id", "comp")
+            two = few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
+            direct = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")).join(two, "bucket").filter("a > b and ca <> cb").select("a", "b", F.lit(False).alias("family"))
+            pairs = pairs.unionByName(direct)
+        pairs = save(pairs.groupBy("a", "b").agg(F.bool_or("family").alias("family")))
+        seen = save(compare(pairs, texts, percent, k))
+        links = seen.filter("linked").select("a", "b")
+        # members of large buckets meet again where they share what their pivot lacks
+        family = seen.filter("family")
+        each = save(family.select("b", "a", "linked", F.explode("lacks").alias("s")))
+        common = save(each.groupBy("b", "s").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("tied")).filter("n > 1 and not tied").select("b", "s"))
+        again = each.join(common, ["b", "s"]).select(F.col("a").alias("id"), F.xxhash64("b", "s", F.lit(turn)).alias("bucket"))
+        # or where both share with the pivot as much as they would have to share with each other
+        p = F.lit(percent)
+        bound = save(family.groupBy("b").agg(F.min("na").alias("least")))
+        near = save(family.filter("not linked").join(bound, "b").filter(F.col("shared") * (100 + p) >= p * (F.col("na") + F.col("least"))).select("b", F.col("a").alias("x"), F.col("shared").alias("sx"), F.col("na").alias("nx")))
+        most = save(near.groupBy("b").agg(F.max(F.col("sx") * (100 + p) - p * F.col("nx")).alias("room")))
+        partners = save(family.join(most, "b").filter(p * F.col("na") <= F.col("room")).select("b", F.col("a").alias("y"), F.col("shared").alias("sy"), F.col("na").alias("ny")))
+        need = p * (F.col("nx") + F.col("ny"))
+        tight = near.join(partners, "b").filter((F.col("x") != F.col("y")) & (F.col("sx") * (100 + p) >= need) & (F.col("sy") * (100 + p) >= need))
+        tight = save(tight.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.lit(False).alias("family")).distinct())
+        if not tight.isEmpty():
+            links = links.unionByName(compare(tight, texts, percent, k).filter("linked").select("a", "b"))
+        links = save(links.distinct())
+        if not links.isEmpty():
+            comp = _merge(comp, links)
+        old = members
+        # small buckets have only met their pivot in the first turn
+        rest = live.filter(~large & (F.col("id") != F.col("pivot"))).select("id", "bucket", "weight") if not turn else live.limit(0).select("id", "bucket", "weight")
+        members = save(rest.unionByName(again.join(weight, "id").select("id", "bucket", "weight")))
+        drop(old, now, open_, live, pairs, seen, each, common, near, partners, tight)
+        tidy(spark)
         turn += 1
     if comp is None:
         comp = classes.select("id", F.col("id").alias("comp")).limit(0)
     named = save(classes.join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id")))
     out = signed.select(key, "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component_id", F.coalesce("component_id", key))
-    # a key with several sets is one document of the smallest component among them
     return out.select(key, "n_shingles", "component_id", (F.col(key) == F.col("component_id")).alias("kept"))
 
 
