@@ -11,13 +11,15 @@ at similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32, about
 Equal sets are one class. Links between classes are confirmed on full texts. Every bucket (a
 band's value) first compares its members with its pivot, the member that shares most buckets
 with others. Buckets within one component are done then. Of the rest, those of at most SMALL
-members compare the pairs that are still in different components. Larger ones are dealt anew:
-if x isn't linked with the pivot p, then x and y can be linked only if they share a shingle
-that p lacks, or if x and y each share with p as much as they would have to share with each
-other. So the shingles that p lacks become new buckets (those that some unlinked member has),
-the few pairs of the second kind are compared, and the old bucket is closed. So no link that a
-bucket offers is lost, and a large group of near copies costs a few comparisons per member
-though most of its pairs may be just below the threshold.
+members compare the pairs that are still in different components. A larger one is dealt anew by
+its core C, the shingles that half of its members have. Texts x and y can be linked only if
+both share with C what they have to share with each other, or if they share enough shingles
+outside C. A member x that C alone can't link (far) is therefore looked up by its rarest
+shingles outside C, enough of them that a partner must have one: these become new buckets, of
+less than half the size each. The others (near) are looked up by all of theirs, and compared
+with the members nearest to C; those that stay open with all that share as much with C. So no link that a bucket offers is
+lost, and a large group of near copies costs a few comparisons per member, though most of its
+pairs may be just below the threshold.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing;
 fewer words than a shingle has are one shingle; repeated rows have equal sets, so one class;
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import WS_CHARS, drop, save, tidy, without
@@ -182,29 +184,91 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n_shingles long, set_key binary, bands array<long>")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataFrame:
-    """pairs: a, b, family; texts: id, text. Adds linked, shared, na, nb of the full sets and, for a family's pair, lacks: hashes of a's shingles that b lacks."""
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataFrame:
+    """pairs: a, b; texts: id, text. The pairs whose full sets have 100 * shared >= percent * all."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(it):
         last, held = None, set()
         for batch in it:
-            a, b, family = (batch.column(i).to_pylist() for i in range(3))
-            out = []
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
             for i in range(len(a)):
-                x = shingles(batch.column(3)[i].as_py(), k)
+                x = shingles(batch.column(2)[i].as_py(), k)
                 if b[i] != last:
-                    last, held = b[i], shingles(batch.column(4)[i].as_py(), k)
+                    last, held = b[i], shingles(batch.column(3)[i].as_py(), k)
                 shared = len(x & held)
-                linked = bool(x) and 100 * shared >= percent * (len(x) + len(held) - shared)
-                more = [xxhash.xxh64_intdigest(" ".join(g)) - 2**63 for g in x - held] if family[i] else None
-                out.append((linked, shared, len(x), len(held), more))
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["a", "b", "family", "linked", "shared", "na", "nb", "lacks"])
+                keep.append(bool(x) and 100 * shared >= percent * (len(x) + len(held) - shared))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return two.select("a", "b", "family", "ta", "tb").mapInArrow(run, "a long, b long, family boolean, linked boolean, shared long, na long, nb long, lacks array<long>")
+    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def _sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """members: p, id. Rows (p, id, s): the shingle hashes of each member."""
+
+    def run(it):
+        for batch in it:
+            t = batch.column(2)
+            for s, z in batches(t, BATCH_BYTES):
+                sets = shingle_sets(t.slice(s, z - s), k)
+                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, z - s), batch.column(1).slice(s, z - s), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["p", "id", "s"])
+
+    rows = members.join(texts, "id").select("p", "id", "text").mapInArrow(run, "p long, id long, s array<long>")
+    return rows.select("p", "id", F.explode("s").alias("s"))
+
+
+def _labelled(df: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Add comp, the component of id."""
+    return df.withColumn("comp", F.col("id")) if comp is None else df.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _open_pairs(x: DataFrame, y: DataFrame, fits=None) -> DataFrame:
+    """Pairs (a > b) of one family, in different components; fits: a further condition on columns of x and of y (prefixed y_)."""
+    other = y.select("p", *[F.col(c).alias(f"y_{c}") for c in y.columns if c != "p"])
+    two = x.join(other, "p").filter(F.col("comp") != F.col("y_comp"))
+    two = two if fits is None else two.filter(fits)
+    return two.select(F.greatest("id", "y_id").alias("a"), F.least("id", "y_id").alias("b")).distinct()
+
+
+def _deal_anew(families: DataFrame, texts: DataFrame, comp: DataFrame | None, percent: int, k: int, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """families: p, id. New buckets (id, p, s) of far members and those who share their shingles, and labels after the near ones' links."""
+    each = save(_sets(families, texts, k))
+    size = save(families.groupBy("p").agg(F.count(F.lit(1)).alias("m")))
+    counts = save(each.groupBy("p", "s").agg(F.count(F.lit(1)).alias("c")).join(size, "p").withColumn("core", 2 * F.col("c") >= F.col("m")).select("p", "s", "c", "core"))
+    marked = save(each.join(counts, ["p", "s"]))
+    per = save(marked.groupBy("p", "id").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("shared")))
+    least = save(per.groupBy("p").agg(F.min("n").alias("least")))
+    labelled = save(_labelled(per, comp))
+    main = save(_labelled(families.select("p").distinct().withColumn("id", F.col("p")), comp).select("p", F.col("comp").alias("main")))
+    # what a member has to share with the smallest partner, without what the core gives
+    lack = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / F.lit(100.0 + percent)) - F.col("shared")
+    rest = save(labelled.join(main, "p").filter("comp <> main").join(least, "p").withColumn("lack", lack))
+    # near members too: with a larger partner they may need a shingle outside the core
+    own, must = F.col("n") - F.col("shared"), F.greatest(F.col("lack"), F.lit(1))
+    far = save(rest.filter(own >= must).select("p", "id", (own - must + 1).alias("first")))
+    w = Window.partitionBy("p", "id").orderBy("c", "s")
+    looked_up = marked.filter(~F.col("core")).join(far, ["p", "id"]).withColumn("i", F.row_number().over(w)).filter((F.col("i") <= F.col("first")) & (F.col("c") > 1))
+    keys = save(looked_up.select("p", "s").distinct())
+    again = save(marked.filter(~F.col("core") & (F.col("c") > 1)).join(keys, ["p", "s"]).select("id", "p", "s"))
+    near = save(rest.filter("lack <= 0").select("p", "id", "n", "shared", "comp"))
+    if not near.isEmpty():
+        top = Window.partitionBy("p").orderBy(F.desc("shared"), "n", "id")
+        best = save(labelled.withColumn("i", F.row_number().over(top)).filter(F.col("i") <= small).drop("i"))
+        links = save(confirm(save(_open_pairs(near, best)), texts, percent, k))
+        comp = _merge(comp, links) if not links.isEmpty() else comp
+        left = save(_labelled(near.drop("comp"), comp).join(save(_labelled(main.select("p", F.col("p").alias("id")), comp).select("p", F.col("comp").alias("main"))), "p").filter("comp <> main").drop("main"))
+        if not left.isEmpty():
+            need = F.lit(percent) * (F.col("n") + F.col("y_n"))
+            both = ((100 + percent) * F.col("shared") >= need) & ((100 + percent) * F.col("y_shared") >= need)
+            links = save(confirm(save(_open_pairs(left, save(_labelled(per, comp)), both)), texts, percent, k))
+            comp = _merge(comp, links) if not links.isEmpty() else comp
+    drop(each, counts, marked, labelled)
+    return again, comp
 
 
 def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -245,40 +309,23 @@ def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
             break
         live = save(now.join(open_, "bucket"))
         large = F.col("n") > small
-        pivots = live.filter(F.col("id") != F.col("pivot"))
-        pairs = pivots.filter(large if turn else F.lit(True)).filter((F.col("comp") != F.col("pivot_comp")) | large).select(F.col("id").alias("a"), F.col("pivot").alias("b"), large.alias("family"))
+        pairs = live.filter(F.col("id") != F.col("pivot")).filter(large if turn else F.lit(True)).filter(F.col("comp") != F.col("pivot_comp")).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
         if turn:
-            few = live.filter(~large).select("bucket", "id", "comp")
-            two = few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            direct = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")).join(two, "bucket").filter("a > b and ca <> cb").select("a", "b", F.lit(False).alias("family"))
-            pairs = pairs.unionByName(direct)
-        pairs = save(pairs.groupBy("a", "b").agg(F.bool_or("family").alias("family")))
-        seen = save(compare(pairs, texts, percent, k))
-        links = seen.filter("linked").select("a", "b")
-        # members of large buckets meet again where they share what their pivot lacks
-        family = seen.filter("family")
-        each = save(family.select("b", "a", "linked", F.explode("lacks").alias("s")))
-        common = save(each.groupBy("b", "s").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("tied")).filter("n > 1 and not tied").select("b", "s"))
-        again = each.join(common, ["b", "s"]).select(F.col("a").alias("id"), F.xxhash64("b", "s", F.lit(turn)).alias("bucket"))
-        # or where both share with the pivot as much as they would have to share with each other
-        p = F.lit(percent)
-        bound = save(family.groupBy("b").agg(F.min("na").alias("least")))
-        near = save(family.filter("not linked").join(bound, "b").filter(F.col("shared") * (100 + p) >= p * (F.col("na") + F.col("least"))).select("b", F.col("a").alias("x"), F.col("shared").alias("sx"), F.col("na").alias("nx")))
-        most = save(near.groupBy("b").agg(F.max(F.col("sx") * (100 + p) - p * F.col("nx")).alias("room")))
-        partners = save(family.join(most, "b").filter(p * F.col("na") <= F.col("room")).select("b", F.col("a").alias("y"), F.col("shared").alias("sy"), F.col("na").alias("ny")))
-        need = p * (F.col("nx") + F.col("ny"))
-        tight = near.join(partners, "b").filter((F.col("x") != F.col("y")) & (F.col("sx") * (100 + p) >= need) & (F.col("sy") * (100 + p) >= need))
-        tight = save(tight.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.lit(False).alias("family")).distinct())
-        if not tight.isEmpty():
-            links = links.unionByName(compare(tight, texts, percent, k).filter("linked").select("a", "b"))
-        links = save(links.distinct())
-        if not links.isEmpty():
-            comp = _merge(comp, links)
-        old = members
+            few = live.filter(~large).select(F.col("bucket").alias("p"), "id", "comp")
+            pairs = pairs.unionByName(_open_pairs(few, few))
+        links = save(confirm(save(pairs.distinct()), texts, percent, k))
+        comp = _merge(comp, links) if not links.isEmpty() else comp
+        families = save(live.filter(large).select(F.col("pivot").alias("p"), "id").distinct())
         # small buckets have only met their pivot in the first turn
-        rest = live.filter(~large & (F.col("id") != F.col("pivot"))).select("id", "bucket", "weight") if not turn else live.limit(0).select("id", "bucket", "weight")
-        members = save(rest.unionByName(again.join(weight, "id").select("id", "bucket", "weight")))
-        drop(old, now, open_, live, pairs, seen, each, common, near, partners, tight)
+        rest = live.filter(~large & (F.col("id") != F.col("pivot"))).select("id", "bucket", "weight") if not turn else None
+        if not families.isEmpty():
+            again, comp = _deal_anew(families, texts, comp, percent, k, small)
+            new = again.select("id", F.xxhash64("p", "s", F.lit(turn)).alias("bucket")).join(weight, "id").select("id", "bucket", "weight")
+            rest = new if rest is None else rest.unionByName(new)
+        if rest is None:
+            break
+        old, members = members, save(rest)
+        drop(old, now, open_, live)
         tidy(spark)
         turn += 1
     if comp is None:
