@@ -33,11 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation before it."""
+def tasks(*tables: DataFrame, each: int = 4_000_000, least: int = 1) -> int:
+    """How many tasks tables of save() are worth, by their bytes on disk."""
+    total = 0
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        total += p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return max(least, -(-total // each))
+
+
+def save(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation before it.
+
+    n: tasks that the last step is worth; it gets no more than that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if n is None or n >= partitions(spark) else df.coalesce(n)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

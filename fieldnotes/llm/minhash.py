@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WS_CHARS, drop, save, tidy, without
+from ._shared import WS_CHARS, drop, save, tasks, tidy
 from .bpe import batches, gather, raw_bytes
 from .graph import components
 
@@ -235,51 +235,51 @@ def _open_pairs(x: DataFrame, y: DataFrame, fits=None) -> DataFrame:
     return two.select(F.greatest("id", "y_id").alias("a"), F.least("id", "y_id").alias("b")).distinct()
 
 
-def _deal_anew(families: DataFrame, texts: DataFrame, comp: DataFrame | None, percent: int, k: int, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """families: p, id. New buckets (id, p, s) of far members and those who share their shingles, and labels after the near ones' links."""
-    each = save(_sets(families, texts, k))
-    size = save(families.groupBy("p").agg(F.count(F.lit(1)).alias("m")))
-    counts = save(each.groupBy("p", "s").agg(F.count(F.lit(1)).alias("c")).join(size, "p").withColumn("core", 2 * F.col("c") >= F.col("m")).select("p", "s", "c", "core"))
-    marked = save(each.join(counts, ["p", "s"]))
-    per = save(marked.groupBy("p", "id").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("shared")))
-    least = save(per.groupBy("p").agg(F.min("n").alias("least")))
-    labelled = save(_labelled(per, comp))
-    main = save(_labelled(families.select("p").distinct().withColumn("id", F.col("p")), comp).select("p", F.col("comp").alias("main")))
+def _deal_anew(families: DataFrame, texts: DataFrame, comp: DataFrame | None, percent: int, k: int, small: int, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """families: p, id; p is the component that most members are in. New buckets (id, p, s) of far members and those who share their shingles, and labels after the near ones' links."""
+    each = save(_sets(families, texts, k), n)
+    n = tasks(each)
+    size = save(families.groupBy("p").agg(F.count(F.lit(1)).alias("m")), n)
+    counts = save(each.groupBy("p", "s").agg(F.count(F.lit(1)).alias("c")).join(size, "p").withColumn("core", 2 * F.col("c") >= F.col("m")).select("p", "s", "c", "core"), n)
+    marked = save(each.join(counts, ["p", "s"]), n)
+    per = save(marked.groupBy("p", "id").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("shared")), n)
+    least = save(per.groupBy("p").agg(F.min("n").alias("least")), n)
+    labelled = save(_labelled(per, comp), n)
     # what a member has to share with the smallest partner, without what the core gives
     lack = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / F.lit(100.0 + percent)) - F.col("shared")
-    rest = save(labelled.join(main, "p").filter("comp <> main").join(least, "p").withColumn("lack", lack))
+    rest = save(labelled.filter("comp <> p").join(least, "p").withColumn("lack", lack), n)
     # near members too: with a larger partner they may need a shingle outside the core
     own, must = F.col("n") - F.col("shared"), F.greatest(F.col("lack"), F.lit(1))
-    far = save(rest.filter(own >= must).select("p", "id", (own - must + 1).alias("first")))
+    far = save(rest.filter(own >= must).select("p", "id", (own - must + 1).alias("first")), n)
     w = Window.partitionBy("p", "id").orderBy("c", "s")
     looked_up = marked.filter(~F.col("core")).join(far, ["p", "id"]).withColumn("i", F.row_number().over(w)).filter((F.col("i") <= F.col("first")) & (F.col("c") > 1))
-    keys = save(looked_up.select("p", "s").distinct())
-    again = save(marked.filter(~F.col("core") & (F.col("c") > 1)).join(keys, ["p", "s"]).select("id", "p", "s"))
-    near = save(rest.filter("lack <= 0").select("p", "id", "n", "shared", "comp"))
+    keys = save(looked_up.select("p", "s").distinct(), n)
+    again = save(marked.filter(~F.col("core") & (F.col("c") > 1)).join(keys, ["p", "s"]).select("id", "p", "s"), n)
+    near = save(rest.filter("lack <= 0").select("p", "id", "n", "shared", "comp"), n)
     if not near.isEmpty():
         top = Window.partitionBy("p").orderBy(F.desc("shared"), "n", "id")
-        best = save(labelled.withColumn("i", F.row_number().over(top)).filter(F.col("i") <= small).drop("i"))
-        links = save(confirm(save(_open_pairs(near, best)), texts, percent, k))
-        comp = _merge(comp, links) if not links.isEmpty() else comp
-        left = save(_labelled(near.drop("comp"), comp).join(save(_labelled(main.select("p", F.col("p").alias("id")), comp).select("p", F.col("comp").alias("main"))), "p").filter("comp <> main").drop("main"))
+        best = save(labelled.withColumn("i", F.row_number().over(top)).filter(F.col("i") <= small).drop("i"), n)
+        links = save(confirm(save(_open_pairs(near, best), n), texts, percent, k), 3 * n)
+        comp = _merge(comp, links, n) if not links.isEmpty() else comp
+        left = save(_labelled(near.drop("comp"), comp).join(_labelled(near.select(F.col("p").alias("id")).distinct(), comp).select(F.col("id").alias("p"), F.col("comp").alias("main")), "p").filter("comp <> main").drop("main"), n)
         if not left.isEmpty():
             need = F.lit(percent) * (F.col("n") + F.col("y_n"))
             both = ((100 + percent) * F.col("shared") >= need) & ((100 + percent) * F.col("y_shared") >= need)
-            links = save(confirm(save(_open_pairs(left, save(_labelled(per, comp)), both)), texts, percent, k))
-            comp = _merge(comp, links) if not links.isEmpty() else comp
+            links = save(confirm(save(_open_pairs(left, save(_labelled(per, comp), n), both), n), texts, percent, k), 3 * n)
+            comp = _merge(comp, links, n) if not links.isEmpty() else comp
     drop(each, counts, marked, labelled)
     return again, comp
 
 
-def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merge(comp: DataFrame | None, links: DataFrame, n: int) -> DataFrame:
     """Labels (id, comp) after more links (a, b); an id without a row is its own component."""
     if comp is None:
-        return components(links)
+        return components(links, n)
     label = lambda df, c: df.join(comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")), c, "left")
-    both = save(label(label(links, "a"), "b").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    step = components(both)
+    both = save(label(label(links, "a"), "b").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), n)
+    step = components(both, n)
     moved = comp.join(step.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-    return save(moved.unionByName(step.join(comp.select("id"), "id", "left_anti")))
+    return save(moved.unionByName(step.join(comp.select("id"), "id", "left_anti")), n)
 
 
 def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", k: int = SHINGLE, small: int = SMALL) -> DataFrame:
@@ -300,31 +300,35 @@ def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
     del heads, mine
     tidy(spark)
     comp, turn = None, 0
+    n_text = tasks(texts, each=2_000_000)
     while True:
-        now = save(members.withColumn("comp", F.col("id")) if comp is None else members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        n = tasks(members)
+        now = save(_labelled(members, comp), n)
         best = F.max(F.struct("weight", (-F.col("id")).alias("i"), "comp")).alias("p")
         open_ = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"), best).filter("x < y")
-        open_ = save(open_.select("bucket", "n", (-F.col("p.i")).alias("pivot"), F.col("p.comp").alias("pivot_comp")))
+        open_ = save(open_.select("bucket", "n", (-F.col("p.i")).alias("pivot"), F.col("p.comp").alias("pivot_comp")), n)
         if open_.isEmpty():
             break
-        live = save(now.join(open_, "bucket"))
+        live = save(now.join(open_, "bucket"), n)
         large = F.col("n") > small
         pairs = live.filter(F.col("id") != F.col("pivot")).filter(large if turn else F.lit(True)).filter(F.col("comp") != F.col("pivot_comp")).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
         if turn:
             few = live.filter(~large).select(F.col("bucket").alias("p"), "id", "comp")
             pairs = pairs.unionByName(_open_pairs(few, few))
-        links = save(confirm(save(pairs.distinct()), texts, percent, k))
-        comp = _merge(comp, links) if not links.isEmpty() else comp
-        families = save(live.filter(large).select(F.col("pivot").alias("p"), "id").distinct())
+        links = save(confirm(save(pairs.distinct(), n), texts, percent, k), n_text)
+        comp = _merge(comp, links, n) if not links.isEmpty() else comp
+        # large buckets whose pivots are in one component are one family
+        named = _labelled(open_.filter(large).select("bucket", F.col("pivot").alias("id")), comp).select("bucket", F.col("comp").alias("p"))
+        families = save(live.filter(large).select("bucket", "id").join(named, "bucket").select("p", "id").distinct(), n)
         # small buckets have only met their pivot in the first turn
         rest = live.filter(~large & (F.col("id") != F.col("pivot"))).select("id", "bucket", "weight") if not turn else None
         if not families.isEmpty():
-            again, comp = _deal_anew(families, texts, comp, percent, k, small)
+            again, comp = _deal_anew(families, texts, comp, percent, k, small, n_text)
             new = again.select("id", F.xxhash64("p", "s", F.lit(turn)).alias("bucket")).join(weight, "id").select("id", "bucket", "weight")
             rest = new if rest is None else rest.unionByName(new)
         if rest is None:
             break
-        old, members = members, save(rest)
+        old, members = members, save(rest, n)
         drop(old, now, open_, live)
         tidy(spark)
         turn += 1
