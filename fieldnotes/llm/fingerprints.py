@@ -93,9 +93,11 @@ def likeness(a: Column, b: Column, coordinates: int = COORDINATES) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(same / F.greatest(either, F.lit(1)))
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text", derive=lambda df: df) -> DataFrame:
     """Add next_<column> of the next document in descending key (after the last one: of the first), without one task that sees all rows.
 
+    tie: a column that orders rows of one key. derive adds columns once the rows to be sent are known.
+
     Rows are dealt into equal ranges of the key; each range also gets a copy of the first row
     of the next range that has any, so a window per range finds every successor.
     """
@@ -107,18 +109,18 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
     dealt = docs.withColumn("_bucket", bucket)
     # at most n + 1 rows: the first row of each range, by the order used below
     order = [F.desc_nulls_last(key), F.asc("_tie")]
-    dealt = dealt.withColumn("_tie", F.xxhash64(*columns))
+    dealt = dealt.withColumn("_tie", F.xxhash64(tie))
     firsts = dealt.groupBy("_bucket").agg(F.min(F.struct(F.col(key).isNull().cast("int").alias("z"), (-F.col(key)).alias("k"), F.col("_tie").alias("t"))).alias("f"))
     listed = firsts.select(F.col("_bucket").alias("b"), F.when(F.col("f.z") == 0, -F.col("f.k")).alias("k"), F.col("f.t").alias("t")).collect()  # bounded by n + 1 ranges
     listed.sort(key=lambda r: -r["b"])
     if not listed:
-        return dealt.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("_bucket", "_tie")
+        return derive(dealt).select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("_bucket", "_tie")
     heads = [(r["k"], r["t"], listed[i - 1]["b"]) for i, r in enumerate(listed)]  # the range before it, in order; the first's goes to the last
     small = docs.sparkSession.createDataFrame(heads, f"_k {dict(docs.dtypes)[key]}, _t long, _to long")
     copies = dealt.join(F.broadcast(small), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_tie") == F.col("_t")))
     copies = copies.dropDuplicates(["_to"])
     copies = copies.select(*[F.col("_to").alias("_bucket") if c == "_bucket" else F.col(c) for c in dealt.columns], F.lit(1).alias("_copy"))
-    both = dealt.withColumn("_copy", F.lit(0)).unionByName(copies)
+    both = derive(dealt.withColumn("_copy", F.lit(0)).unionByName(copies))
     w = Window.partitionBy("_bucket").orderBy("_copy", *order)
     out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return out.filter("_copy = 0").drop("_bucket", "_tie", "_copy")
@@ -127,8 +129,7 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataF
 def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text (the last third replaced by the start of the next document's text), and their likeness."""
     base = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumn("fingerprint", fingerprint(F.col("text")))
-    out = with_next(base, ["text", "fingerprint"], key)
+    out = with_next(base, ["text", "fingerprint"], key, derive=lambda df: df.withColumn("fingerprint", fingerprint(F.col("text"))))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
