@@ -232,8 +232,8 @@ select theme_cluster, representative_theme_label, n as current_customer_n, preva
     + 0.1::double * (ev / k / 5.0::double) + 0.1::double * (urg / k / 5.0::double) + 0.07::double * (comm / k / 5.0::double) + 0.05::double * (work / k)) * greatest(0.0::double, 1.0::double - 0.35::double * (led / k)))), 2), 0.0::double) as s
   from (select distinct theme_cluster from findings) x cross join (select unnest(generate_series(0, 199)) as rep) r left join sums on sums.theme_cluster = x.theme_cluster and sums.rep = r.rep, (select {_N} as n)
 )
-select theme_cluster, 200 as bootstrap_reps, round(round(quantile_cont(s, 0.5), 7), 3) as opportunity_score_bootstrap_median, round(round(quantile_cont(s, 0.025), 7), 3) as opportunity_score_ci_low, round(round(quantile_cont(s, 0.975), 7), 3) as opportunity_score_ci_high,
-  round(round(quantile_cont(p, 0.5), 7), 4) as prevalence_bootstrap_median, round(round(quantile_cont(p, 0.025), 7), 4) as prevalence_bootstrap_ci_low, round(round(quantile_cont(p, 0.975), 7), 4) as prevalence_bootstrap_ci_high from t group by theme_cluster"""),
+select theme_cluster, 200 as bootstrap_reps, round(cast(quantile_cont(s, 0.5) as decimal(18, 7)), 3)::double as opportunity_score_bootstrap_median, round(cast(quantile_cont(s, 0.025) as decimal(18, 7)), 3)::double as opportunity_score_ci_low, round(cast(quantile_cont(s, 0.975) as decimal(18, 7)), 3)::double as opportunity_score_ci_high,
+  round(cast(quantile_cont(p, 0.5) as decimal(18, 7)), 4)::double as prevalence_bootstrap_median, round(cast(quantile_cont(p, 0.025) as decimal(18, 7)), 4)::double as prevalence_bootstrap_ci_low, round(cast(quantile_cont(p, 0.975) as decimal(18, 7)), 4)::double as prevalence_bootstrap_ci_high from t group by theme_cluster"""),
     "call_metrics": ("FA", False, f"""
 +tw as (select *, len(regexp_extract_all({_ASCII.format("text")}, '{_TOKEN}'))::bigint as w from turns
 ), tm as (
