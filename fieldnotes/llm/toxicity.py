@@ -27,6 +27,8 @@ BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 EPOCHS = 10
+#: Updates that small training sets get at least.
+UPDATES = 900
 TRAIN_ROWS = 6000
 THRESHOLD = 0.7
 MINIBATCH = 64
@@ -125,6 +127,7 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed:
     weight = len(labels) / (2 * np.bincount(labels, minlength=2))
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (vectors, layer, bias)]
     turn = 0
+    epochs = max(epochs, -(-UPDATES // -(-len(labels) // MINIBATCH)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(labels))
