@@ -29,7 +29,7 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     mid = (p + z * z / (2 * trials)) / d
     half = z * F.sqrt(p * (1 - p) / trials + z * z / (4 * trials * trials)) / d
     zero = F.lit(0.0)
-    return F.coalesce(F.greatest(zero, mid - half), zero), F.coalesce(F.least(F.lit(1.0), mid + half), zero)
+    return F.when(n > 0, F.greatest(zero, mid - half)).otherwise(zero), F.when(n > 0, F.least(F.lit(1.0), mid + half)).otherwise(zero)
 
 
 def opportunity_score(prevalence, clean, strong, pain, evidence, urgency, commercial, workaround, led) -> Column:

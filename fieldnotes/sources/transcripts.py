@@ -34,13 +34,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def list_files(spark: SparkSession, project: str, not_transcripts: str = NOT_TRANSCRIPTS) -> DataFrame:
     """path, file_name, extension of the transcripts in the project's folder and in its `transcripts` folder, not deeper."""
-    paths = [p for p in (project, f"{project}/transcripts") if _exists(spark, p)]
-    if not paths:
-        return empty(spark, "path string, file_name string, extension string")
-    # only names are asked for, so contents stay unread
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.*").load(paths).select("path")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(project).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [p for p in (project, f"{project}/transcripts") if fs.exists(fs_path(p))]
+    # names of one project's files; contents stay unread
+    found = [(str(f.getPath()),) for p in folders for f in fs.listStatus(fs_path(p)) if f.isFile()]
     name = F.element_at(F.split("path", "/"), -1)
-    named = found.select("path", name.alias("file_name"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("extension"))
+    named = spark.createDataFrame(found, "path string").select("path", name.alias("file_name"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("extension"))
     return named.filter(F.col("extension").isin(*EXTENSIONS) & ~F.lower("file_name").rlike(not_transcripts)).distinct().orderBy("path")
 
 
