@@ -46,7 +46,8 @@ def opportunity_score(prevalence, clean, strong, pain, evidence, urgency, commer
         + w["workaround"] * _d(workaround)
     )
     penalty = F.greatest(F.lit(0.0), 1 - LED_PENALTY * _d(led))
-    return F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * total * penalty)), 2)
+    # sums differ in their last digits by their order; the first rounding takes that away, so that a tie is a tie
+    return F.round(F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * total * penalty)), 9), 2)
 
 
 def widespread(k: Column, n: Column) -> Column:

@@ -69,9 +69,9 @@ _STATS = f"""
     round(strong_customer_count::double / n, 4) as strong_prevalence,
     round(ev, 3) as avg_evidence_strength, round(pain, 3) as avg_pain_severity, round(urg, 3) as avg_urgency, round(comm, 3) as avg_commercial_relevance,
     round(led, 3) as led_or_contaminated_share, round(work, 3) as workaround_share, round(cons, 3) as consequence_share,
-    round(least(100.0::double, greatest(0.0::double, 100.0::double * (0.22::double * (customer_count::double / n) + 0.18::double * (clean_customer_count::double / n) + 0.16::double * (strong_customer_count::double / n)
+    round(cast(least(100.0::double, greatest(0.0::double, 100.0::double * (0.22::double * (customer_count::double / n) + 0.18::double * (clean_customer_count::double / n) + 0.16::double * (strong_customer_count::double / n)
       + 0.12::double * (pain / 5.0::double) + 0.1::double * (ev / 5.0::double) + 0.1::double * (urg / 5.0::double) + 0.07::double * (comm / 5.0::double) + 0.05::double * work)
-      * greatest(0.0::double, 1.0::double - 0.35::double * led))), 2) as opportunity_score
+      * greatest(0.0::double, 1.0::double - 0.35::double * led))) as decimal(18, 9)), 2)::double as opportunity_score
   from agg a join {_mode("theme_label")} l on l.theme_cluster = a.theme_cluster and l.i = 1 join {_mode("domain_area")} d on d.theme_cluster = a.theme_cluster and d.i = 1
 )"""
 
@@ -228,8 +228,8 @@ select theme_cluster, representative_theme_label, n as current_customer_n, preva
 ), sums as (
   select theme_cluster, rep, sum(w) as k, sum(cl * w) as cl, sum(sg * w) as sg, sum(ev * w) as ev, sum(pain * w) as pain, sum(urg * w) as urg, sum(comm * w) as comm, sum(work * w) as work, sum(led * w) as led from roll join w using (customer_id) group by all
 ), t as (
-  select x.theme_cluster, coalesce(k / n, 0.0::double) as p, coalesce(round(least(100.0::double, greatest(0.0::double, 100.0::double * (0.22::double * (k / n) + 0.18::double * (cl / n) + 0.16::double * (sg / n) + 0.12::double * (pain / k / 5.0::double)
-    + 0.1::double * (ev / k / 5.0::double) + 0.1::double * (urg / k / 5.0::double) + 0.07::double * (comm / k / 5.0::double) + 0.05::double * (work / k)) * greatest(0.0::double, 1.0::double - 0.35::double * (led / k)))), 2), 0.0::double) as s
+  select x.theme_cluster, coalesce(k / n, 0.0::double) as p, coalesce(round(cast(least(100.0::double, greatest(0.0::double, 100.0::double * (0.22::double * (k / n) + 0.18::double * (cl / n) + 0.16::double * (sg / n) + 0.12::double * (pain / k / 5.0::double)
+    + 0.1::double * (ev / k / 5.0::double) + 0.1::double * (urg / k / 5.0::double) + 0.07::double * (comm / k / 5.0::double) + 0.05::double * (work / k)) * greatest(0.0::double, 1.0::double - 0.35::double * (led / k)))) as decimal(18, 9)), 2)::double, 0.0::double) as s
   from (select distinct theme_cluster from findings) x cross join (select unnest(generate_series(0, 199)) as rep) r left join sums on sums.theme_cluster = x.theme_cluster and sums.rep = r.rep, (select {_N} as n)
 )
 select theme_cluster, 200 as bootstrap_reps, round(cast(quantile_cont(s, 0.5) as decimal(18, 7)), 3)::double as opportunity_score_bootstrap_median, round(cast(quantile_cont(s, 0.025) as decimal(18, 7)), 3)::double as opportunity_score_ci_low, round(cast(quantile_cont(s, 0.975) as decimal(18, 7)), 3)::double as opportunity_score_ci_high,
