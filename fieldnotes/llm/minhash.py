@@ -10,16 +10,20 @@ at similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32, about
 
 Equal sets are one class. Links between classes are confirmed on full texts. Every bucket (a
 band's value) first compares its members with its pivot, the member that shares most buckets
-with others. Buckets within one component are done then. Of the rest, those of at most SMALL
-members compare the pairs that are still in different components. A larger one is dealt anew by
-its core C, the shingles that half of its members have. Texts x and y can be linked only if
-both share with C what they have to share with each other, or if they share enough shingles
-outside C. A member x that C alone can't link (far) is therefore looked up by its rarest
-shingles outside C, enough of them that a partner must have one: these become new buckets, of
-less than half the size each. The others (near) are looked up by all of theirs, and compared
-with the members nearest to C; those that stay open with all that share as much with C. So no link that a bucket offers is
-lost, and a large group of near copies costs a few comparisons per member, though most of its
-pairs may be just below the threshold.
+with others. The buckets that still span components and whose pivots are in one component form
+a family. Its open members, those outside that component, are compared with all its members on
+their full sets, in blocks of bounded size; a block answers with links that join components,
+never with all pairs. So every link a bucket offers is found in one more step, and the rows
+grow with the members, at most BLOCKS times.
+
+A family with more open members than that is dealt anew by its core C, the shingles that half
+of its members have. Texts x and y can be linked only if both share with C what they have to
+share with each other, or if they share enough shingles outside C. A member x that C alone
+can't link (far) is therefore looked up by its rarest shingles outside C, enough of them that a
+partner must have one: these become new buckets, of less than half the size each, which are
+families of their own where their union is too large again. The others (near) are looked up by
+all of theirs, and compared with the members nearest to C; those that stay open with all that
+share as much with C.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing;
 fewer words than a shingle has are one shingle; repeated rows have equal sets, so one class;
@@ -42,8 +46,12 @@ from .graph import components
 SHINGLE = 5
 SKETCH = 128
 ROWS = 4
-#: Buckets of at most so many members compare their open pairs directly.
+#: A member near to the core of a family is compared with so many of those nearest to it.
 SMALL = 16
+#: Open members and members of a block, and shingles of either.
+ASK_BLOCK, MEMBER_BLOCK, SHINGLE_BLOCK = 1024, 4096, 2_000_000
+#: A family whose open members fill more blocks than this is dealt anew.
+BLOCKS = 8
 BATCH_BYTES = 4_000_000
 
 _SPACE = np.zeros(256, bool)
@@ -207,7 +215,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, k: int = SHIN
 
 
 def _sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """members: p, id. Rows (p, id, s): the shingle hashes of each member."""
+    """members: f, id. Rows (f, id, s): the set of shingle hashes of each member."""
 
     def run(it):
         for batch in it:
@@ -216,10 +224,9 @@ def _sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(t.slice(s, z - s), k)
                 at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, z - s), batch.column(1).slice(s, z - s), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["p", "id", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, z - s), batch.column(1).slice(s, z - s), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["f", "id", "s"])
 
-    rows = members.join(texts, "id").select("p", "id", "text").mapInArrow(run, "p long, id long, s array<long>")
-    return rows.select("p", "id", F.explode("s").alias("s"))
+    return members.join(texts, "id").select("f", "id", "text").mapInArrow(run, "f long, id long, s array<long>")
 
 
 def _labelled(df: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -229,36 +236,118 @@ def _labelled(df: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 def _open_pairs(x: DataFrame, y: DataFrame, fits=None) -> DataFrame:
     """Pairs (a > b) of one family, in different components; fits: a further condition on columns of x and of y (prefixed y_)."""
-    other = y.select("p", *[F.col(c).alias(f"y_{c}") for c in y.columns if c != "p"])
-    two = x.join(other, "p").filter(F.col("comp") != F.col("y_comp"))
+    other = y.select("f", *[F.col(c).alias(f"y_{c}") for c in y.columns if c != "f"])
+    two = x.join(other, "f").filter(F.col("comp") != F.col("y_comp"))
     two = two if fits is None else two.filter(fits)
     return two.select(F.greatest("id", "y_id").alias("a"), F.least("id", "y_id").alias("b")).distinct()
 
 
+def _links_of_block(percent: int):
+    """Of one block (rows f, qi, mj, id, comp, ask, s): links between open and other members that join the components in it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ask = t["ask"].to_numpy().astype(bool)
+        ids, comps = t["id"].to_numpy(), t["comp"].to_numpy()
+        sets = t["s"].combine_chunks()
+        size = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, row = sets.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), size)
+        q, m = np.flatnonzero(ask), np.flatnonzero(~ask)
+        rank = np.cumsum(ask) - 1
+        rank[m] = np.arange(len(m))
+        asked = ask[row]
+        vocabulary, qc = np.unique(flat[asked], return_inverse=True)
+        qr, mr, mc = rank[row[asked]], rank[row[~asked]], np.searchsorted(vocabulary, flat[~asked])
+        known = mc < len(vocabulary)
+        known[known] = vocabulary[mc[known]] == flat[~asked][known]
+        mr, mc = mr[known], mc[known]
+        order = np.argsort(mc, kind="stable")
+        mr, mc = mr[order], mc[order]
+        nq, nm = np.bincount(qc, minlength=len(vocabulary)), np.bincount(mc, minlength=len(vocabulary))
+        begin = np.cumsum(nm) - nm
+        shared = np.zeros((len(q), len(m)), np.int64)
+        # frequent shingles by a product of matrices, the others by their lists
+        often = 64 * nq * nm >= max(4096, len(q) * len(m))
+        for at in np.array_split(np.flatnonzero(often), -(-int(often.sum()) // 2048) or 1):
+            to = np.full(len(vocabulary), -1)
+            to[at] = np.arange(len(at))
+            x, y = np.zeros((len(q), len(at)), np.float32), np.zeros((len(m), len(at)), np.float32)
+            x[qr[to[qc] >= 0], to[qc[to[qc] >= 0]]] = 1
+            y[mr[to[mc] >= 0], to[mc[to[mc] >= 0]]] = 1
+            shared += (x @ y.T).astype(np.int64)
+        seldom = ~often[qc]
+        r, c = qr[seldom], qc[seldom]
+        turn = np.cumsum(nm[c]) // 4_000_000
+        for cut in np.split(np.arange(len(c)), np.flatnonzero(np.diff(turn)) + 1):
+            at = np.repeat(r[cut], nm[c[cut]]) * len(m) + mr[gather(begin[c[cut]], nm[c[cut]])]
+            shared += np.bincount(at, minlength=shared.size).reshape(shared.shape)
+        linked = (100 + percent) * shared >= percent * (size[q][:, None] + size[m][None, :])
+        linked &= comps[q][:, None] != comps[m][None, :]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        out = []
+        for i in np.flatnonzero(linked.any(1)).tolist():
+            partners = m[np.flatnonzero(linked[i])]
+            for j in partners[np.unique(comps[partners], return_index=True)[1]].tolist():
+                x, y = find(int(comps[q[i]])), find(int(comps[j]))
+                if x != y:
+                    root[x] = y
+                    out.append((max(ids[q[i]], ids[j]), min(ids[q[i]], ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _in_blocks(families: DataFrame, texts: DataFrame, percent: int, k: int, blocks: int, n: int, n_text: int) -> tuple[DataFrame, DataFrame]:
+    """families: f, p, id, comp, size. Confirmed links that join the components of each family, and the families (f, p) that are too large for it."""
+    open_ = F.col("comp") != F.col("p")
+    per = families.groupBy("f", "p").agg(
+        F.count_if(open_).alias("q"), F.sum(F.when(open_, F.col("size")).otherwise(0)).alias("qs"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("ms")
+    )
+    up = lambda rows, most, sizes: F.greatest(F.lit(1), F.ceil(F.col(rows) / F.lit(most)), F.ceil(F.col(sizes) / F.lit(SHINGLE_BLOCK))).cast("int")
+    per = save(per.select("f", "p", up("q", ASK_BLOCK, "qs").alias("qb"), up("m", MEMBER_BLOCK, "ms").alias("mb")), n)
+    fit = save(families.join(per.filter(F.col("qb") <= blocks).select("f", "qb", "mb"), "f"), n)
+    sets = save(_sets(fit.select(F.lit(0).cast("long").alias("f"), "id").distinct(), texts, k).select("id", "s"), n_text)
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    members = fit.select("f", every("qb").alias("qi"), own("mb").alias("mj"), "id", "comp", F.lit(False).alias("ask"))
+    asking = fit.filter(open_).select("f", own("qb").alias("qi"), every("mb").alias("mj"), "id", "comp", F.lit(True).alias("ask"))
+    rows = members.unionByName(asking).join(sets, "id").select("f", "qi", "mj", "id", "comp", "ask", "s")
+    found = save(rows.groupBy("f", "qi", "mj").applyInArrow(_links_of_block(percent), "a long, b long"), n_text)
+    links = save(confirm(found.distinct(), texts, percent, k), n_text)
+    drop(fit, sets, found)
+    return links, per.filter(F.col("qb") > blocks).select("f", "p")
+
+
 def _deal_anew(families: DataFrame, texts: DataFrame, comp: DataFrame | None, percent: int, k: int, small: int, n: int) -> tuple[DataFrame, DataFrame | None]:
-    """families: p, id; p is the component that most members are in. New buckets (id, p, s) of far members and those who share their shingles, and labels after the near ones' links."""
-    each = save(_sets(families, texts, k), n)
+    """families: f, p, id; p is the component of the family's pivot. New buckets (id, f, s) of far members and those who share their shingles, and labels after the near ones' links."""
+    each = save(_sets(families.select("f", "id"), texts, k).select("f", "id", F.explode("s").alias("s")), n)
+    mains = save(families.select("f", "p").distinct(), n)
     n = tasks(each)
-    size = save(families.groupBy("p").agg(F.count(F.lit(1)).alias("m")), n)
-    counts = save(each.groupBy("p", "s").agg(F.count(F.lit(1)).alias("c")).join(size, "p").withColumn("core", 2 * F.col("c") >= F.col("m")).select("p", "s", "c", "core"), n)
-    marked = save(each.join(counts, ["p", "s"]), n)
-    per = save(marked.groupBy("p", "id").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("shared")), n)
-    least = save(per.groupBy("p").agg(F.min("n").alias("least")), n)
-    labelled = save(_labelled(per, comp), n)
+    size = save(families.groupBy("f").agg(F.count(F.lit(1)).alias("m")), n)
+    counts = save(each.groupBy("f", "s").agg(F.count(F.lit(1)).alias("c")).join(size, "f").withColumn("core", 2 * F.col("c") >= F.col("m")).select("f", "s", "c", "core"), n)
+    marked = save(each.join(counts, ["f", "s"]), n)
+    per = save(marked.groupBy("f", "id").agg(F.count(F.lit(1)).alias("n"), F.count_if("core").alias("shared")), n)
+    least = save(per.groupBy("f").agg(F.min("n").alias("least")), n)
+    labelled = save(_labelled(per, comp).join(mains, "f"), n)
     # what a member has to share with the smallest partner, without what the core gives
     lack = F.ceil(F.lit(percent) * (F.col("n") + F.col("least")) / F.lit(100.0 + percent)) - F.col("shared")
-    rest = save(labelled.filter("comp <> p").join(least, "p").withColumn("lack", lack), n)
+    rest = save(labelled.filter("comp <> p").join(least, "f").withColumn("lack", lack), n)
     # near members too: with a larger partner they may need a shingle outside the core
     own, must = F.col("n") - F.col("shared"), F.greatest(F.col("lack"), F.lit(1))
-    far = save(rest.filter(own >= must).select("p", "id", (own - must + 1).alias("first")), n)
-    w = Window.partitionBy("p", "id").orderBy("c", "s")
-    looked_up = marked.filter(~F.col("core")).join(far, ["p", "id"]).withColumn("i", F.row_number().over(w)).filter((F.col("i") <= F.col("first")) & (F.col("c") > 1))
-    keys = save(looked_up.select("p", "s").distinct(), n)
-    again = save(marked.filter(~F.col("core") & (F.col("c") > 1)).join(keys, ["p", "s"]).select("id", "p", "s"), n)
-    near = save(rest.filter("lack <= 0").select("p", "id", "n", "shared", "comp"), n)
+    far = save(rest.filter(own >= must).select("f", "id", (own - must + 1).alias("first")), n)
+    w = Window.partitionBy("f", "id").orderBy("c", "s")
+    looked_up = marked.filter(~F.col("core")).join(far, ["f", "id"]).withColumn("i", F.row_number().over(w)).filter((F.col("i") <= F.col("first")) & (F.col("c") > 1))
+    keys = save(looked_up.select("f", "s").distinct(), n)
+    again = save(marked.filter(~F.col("core") & (F.col("c") > 1)).join(keys, ["f", "s"]).select("id", "f", "s"), n)
+    near = save(rest.filter("lack <= 0").select("f", "p", "id", "n", "shared", "comp"), n)
     if not near.isEmpty():
-        top = Window.partitionBy("p").orderBy(F.desc("shared"), "n", "id")
-        best = save(labelled.withColumn("i", F.row_number().over(top)).filter(F.col("i") <= small).drop("i"), n)
+        top = Window.partitionBy("f").orderBy(F.desc("shared"), "n", "id")
+        best = save(labelled.withColumn("i", F.row_number().over(top)).filter(F.col("i") <= small).drop("i", "p"), n)
         links = save(confirm(save(_open_pairs(near, best), n), texts, percent, k), 3 * n)
         comp = _merge(comp, links, n) if not links.isEmpty() else comp
         left = save(_labelled(near.drop("comp"), comp).join(_labelled(near.select(F.col("p").alias("id")).distinct(), comp).select(F.col("id").alias("p"), F.col("comp").alias("main")), "p").filter("comp <> main").drop("main"), n)
@@ -282,16 +371,16 @@ def _merge(comp: DataFrame | None, links: DataFrame, n: int) -> DataFrame:
     return save(moved.unionByName(step.join(comp.select("id"), "id", "left_anti")), n)
 
 
-def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", k: int = SHINGLE, small: int = SMALL) -> DataFrame:
+def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", k: int = SHINGLE, small: int = SMALL, blocks: int = BLOCKS) -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable by links), kept (key = component_id). key: a long without nulls."""
     spark = docs.sparkSession
     signed = save(signatures(docs, key, text, k))
     classes = save(signed.filter("set_key is not null").groupBy("set_key").agg(F.min(key).alias("id")))
-    heads = classes.join(signed.select("set_key", F.col(key).alias("id"), "bands"), ["set_key", "id"]).dropDuplicates(["id", "set_key"])
-    rows = save(heads.select("id", F.explode("bands").alias("bucket")))
+    heads = classes.join(signed.select("set_key", F.col(key).alias("id"), F.col("n_shingles").alias("size"), "bands"), ["set_key", "id"]).dropDuplicates(["id", "set_key"])
+    rows = save(heads.select("id", "size", F.explode("bands").alias("bucket")))
     shared = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     found = save(rows.join(shared, "bucket"))
-    weight = save(found.groupBy("id").agg(F.sum("n").alias("weight")))
+    weight = save(found.groupBy("id").agg(F.sum("n").alias("weight"), F.max("size").alias("size")))
     members = save(found.select("id", "bucket").join(weight, "id"))
     drop(rows, shared, found)
     # the texts of classes that share a bucket, once each
@@ -305,29 +394,30 @@ def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
         n = tasks(members)
         now = save(_labelled(members, comp), n)
         best = F.max(F.struct("weight", (-F.col("id")).alias("i"), "comp")).alias("p")
-        open_ = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n"), best).filter("x < y")
-        open_ = save(open_.select("bucket", "n", (-F.col("p.i")).alias("pivot"), F.col("p.comp").alias("pivot_comp")), n)
+        open_ = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), best).filter("x < y")
+        open_ = save(open_.select("bucket", (-F.col("p.i")).alias("pivot"), F.col("p.comp").alias("p")), n)
         if open_.isEmpty():
             break
         live = save(now.join(open_, "bucket"), n)
-        large = F.col("n") > small
-        pairs = live.filter(F.col("id") != F.col("pivot")).filter(large if turn else F.lit(True)).filter(F.col("comp") != F.col("pivot_comp")).select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
-        if turn:
-            few = live.filter(~large).select(F.col("bucket").alias("p"), "id", "comp")
-            pairs = pairs.unionByName(_open_pairs(few, few))
-        links = save(confirm(save(pairs.distinct(), n), texts, percent, k), n_text)
-        comp = _merge(comp, links, n) if not links.isEmpty() else comp
-        # large buckets whose pivots are in one component are one family
-        named = _labelled(open_.filter(large).select("bucket", F.col("pivot").alias("id")), comp).select("bucket", F.col("comp").alias("p"))
-        families = save(live.filter(large).select("bucket", "id").join(named, "bucket").select("p", "id").distinct(), n)
-        # small buckets have only met their pivot in the first turn
-        rest = live.filter(~large & (F.col("id") != F.col("pivot"))).select("id", "bucket", "weight") if not turn else None
-        if not families.isEmpty():
-            again, comp = _deal_anew(families, texts, comp, percent, k, small, n_text)
-            new = again.select("id", F.xxhash64("p", "s", F.lit(turn)).alias("bucket")).join(weight, "id").select("id", "bucket", "weight")
-            rest = new if rest is None else rest.unionByName(new)
-        if rest is None:
-            break
+        if not turn:
+            pairs = live.filter("id <> pivot and comp <> p").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
+            links = save(confirm(save(pairs.distinct(), n), texts, percent, k), n_text)
+            comp = _merge(comp, links, n) if not links.isEmpty() else comp
+            # the pivot has met all the others
+            rest = live.filter("id <> pivot").select("id", "bucket", "weight", "size")
+        else:
+            families = save(live.select(F.col("p").alias("f"), "p", "id", "comp", "size").distinct(), n)
+            links, large = _in_blocks(families, texts, percent, k, blocks, n, n_text)
+            if turn > 1 and not large.isEmpty():
+                families = save(live.join(large.select("p"), "p").select(F.col("bucket").alias("f"), "p", "id", "comp", "size").distinct(), n)
+                more, large = _in_blocks(families, texts, percent, k, blocks, n, n_text)
+                links = links.unionByName(more)
+            comp = _merge(comp, links, n) if not links.isEmpty() else comp
+            if large.isEmpty():
+                break
+            named = _labelled(large.select("f", F.col("p").alias("id")), comp).select("f", F.col("comp").alias("p"))
+            again, comp = _deal_anew(save(families.select("f", "id").join(named, "f"), n), texts, comp, percent, k, small, n_text)
+            rest = again.select("id", F.xxhash64("f", "s", F.lit(turn)).alias("bucket")).join(weight, "id").select("id", "bucket", "weight", "size")
         old, members = members, save(rest, n)
         drop(old, now, open_, live)
         tidy(spark)
