@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from ._shared import without
+from ._shared import releasing, without
 
 #: Distinct pieces that a worker remembers between batches.
 REMEMBERED = 500_000
@@ -313,7 +313,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType(), False))]))
+    return kept.mapInArrow(releasing(run), StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType(), False))]))
 
 
 def digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,4 +330,4 @@ def digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([keys.slice(s, z - s), pa.array(np.diff(at)), pa.array([x for x, _ in both], pa.string()), pa.array([x for _, x in both], pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(key, text)
-    return rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(releasing(run), f"{key} {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

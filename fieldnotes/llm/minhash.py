@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WS_CHARS, drop, save, tasks, tidy
+from ._shared import WS_CHARS, drop, releasing, save, tasks, tidy
 from .bpe import batches, gather, raw_bytes
 from .graph import components
 
@@ -52,7 +52,7 @@ SMALL = 16
 ASK_BLOCK, MEMBER_BLOCK, SHINGLE_BLOCK = 1024, 4096, 2_000_000
 #: A family whose open members fill more blocks than this is dealt anew.
 BLOCKS = 8
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in WS_CHARS]] = True
@@ -189,7 +189,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
                 col = pa.ListArray.from_arrays(pa.array(np.arange(0, lists.size + 1, lists.shape[1]), pa.int32()), pa.array(lists.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([keys.slice(s, z - s), pa.array(n), pa.array(names, pa.binary()), col], [key, "n_shingles", "set_key", "bands"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(key, text).mapInArrow(releasing(run), f"{key} {dict(docs.dtypes)[key]}, n_shingles long, set_key binary, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataFrame:
@@ -211,7 +211,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, k: int = SHIN
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "ta", "tb").mapInArrow(releasing(run), "a long, b long")
 
 
 def _sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -226,7 +226,7 @@ def _sets(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, z - s), batch.column(1).slice(s, z - s), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["f", "id", "s"])
 
-    return members.join(texts, "id").select("f", "id", "text").mapInArrow(run, "f long, id long, s array<long>")
+    return members.join(texts, "id").select("f", "id", "text").mapInArrow(releasing(run), "f long, id long, s array<long>")
 
 
 def _labelled(df: DataFrame, comp: DataFrame | None) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import partitions, save
+from ._shared import partitions, releasing, save
 from .bpe import batches, encoder
 
 CAPACITY = 2048
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.array(parts, pa.list_(pa.int32()))] if with_ids else [])], [*names, *(["ids"] if with_ids else [])])
 
     schema = f"{key} {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(releasing(run), schema)
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY, step: int = STEP, key: str = "doc_id") -> DataFrame:
@@ -191,7 +191,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, step: int = STEP, key: str
     own = [f for f in ranked.schema.fields if not f.name.startswith("_")]
     from pyspark.sql.types import LongType, StructField, StructType
 
-    placed = ranked.mapInArrow(run, StructType([*own, *(StructField(n, LongType()) for n in ("sequence_id", "_c", "_slot"))]))
+    placed = ranked.mapInArrow(releasing(run), StructType([*own, *(StructField(n, LongType()) for n in ("sequence_id", "_c", "_slot"))]))
     w = Window.partitionBy("sequence_id").orderBy("_c", "_slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long")).drop("_c", "_slot")
 

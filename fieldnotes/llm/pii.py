@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import save, without
+from ._shared import releasing, save, without
 from .bpe import batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -126,7 +126,7 @@ def cooccurrence(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
                     n.update(pairs)
                 yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["entity", "term", "n"])
 
-    return docs.select(text).mapInArrow(run, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(releasing(run), "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
 
 
 def _bitmap(terms: DataFrame) -> bytes:
@@ -172,7 +172,7 @@ def frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
                 found, n = np.unique(code, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in found.tolist()], pa.string()), pa.array(n.astype(np.int64))], ["term", "df"])
 
-    return docs.select(text).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).join(terms, "term")
+    return docs.select(text).mapInArrow(releasing(run), "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).join(terms, "term")
 
 
 def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
@@ -223,7 +223,7 @@ def find(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (), **how
 
     rows = docs.select(*[F.col(c) for c in names_], F.col(text).alias("_text"))
     extra = StructType.fromDDL("_spans array<struct<kind:string,start:int,end:int>>, _terms array<struct<term:string,start:int,end:int>>")
-    first = save(rows.mapInArrow(run, StructType([*[f for f in rows.schema.fields if f.name != "_text"], *extra.fields])).withColumn("_uid", F.monotonically_increasing_id()))
+    first = save(rows.mapInArrow(releasing(run), StructType([*[f for f in rows.schema.fields if f.name != "_text"], *extra.fields])).withColumn("_uid", F.monotonically_increasing_id()))
     exact = first.select("_uid", F.inline("_terms")).join(terms, "term")
     more = save(exact.groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("_more")))
     out = first.join(more, "_uid", "left")

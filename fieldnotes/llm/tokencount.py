@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from ._shared import releasing
 from .bpe import batches
 
 #: Distinct pre-tokens that a worker remembers.
@@ -93,4 +94,4 @@ def count(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "te
                 size = pc.fill_null(pc.binary_length(part), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([keys.slice(s, z - s), size, pa.array(n), pa.array(n > limit)], [key, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(key, text).mapInArrow(releasing(run), f"{key} {dict(docs.dtypes)[key]}, n_bytes long, n_tokens long, over_limit boolean")

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import releasing
 from .bpe import batches, gather
 from .minhash import mix
 
@@ -178,5 +179,5 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 x = m.scores(t.slice(s, z - s))
                 yield pa.RecordBatch.from_arrays([keys.slice(s, z - s), pa.array(x), pa.array((x >= threshold).astype(np.int32))], [key, "score", "predicted"])
 
-    out = docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, score double, predicted int")
+    out = docs.select(key, text).mapInArrow(releasing(run), f"{key} {dict(docs.dtypes)[key]}, score double, predicted int")
     return out.select(key, F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), "score", "predicted")
