@@ -28,24 +28,25 @@ PIECE = 64
 DIGITS = 8
 
 
-def _occurrences(hashes: Column) -> Column:
-    """(hash, position) of every k-mer with the occurrence number mixed in; numbering costs only where hashes repeat."""
-    simple = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+def _competitors(hashes: Column, coordinates: int) -> Column:
+    """(coordinate, hash, position) of every k-mer; occurrences after the first have their number mixed in, which costs only where hashes repeat."""
+    entry = lambda h, i: F.struct(F.pmod(h, F.lit(coordinates)).alias("c"), h.alias("h"), i.alias("i"))
 
-    def numbered(s: Column) -> Column:
-        plain = F.transform(s, lambda x: x["h"])
-        # the first place of a hash in the sorted list is its occurrence 0
-        return let(plain, lambda p: F.transform(s, lambda x, j: F.struct(F.xxhash64(x["h"], (j + 1 - F.array_position(p, x["h"])).cast("long")).alias("h"), x["i"].alias("i"))))
+    def numbered(t: Column) -> Column:
+        # t: sorted, so equal hashes are neighbours; each run of them is sliced once
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda j: F.coalesce(F.get(t, j - 1)["h"] != F.get(t, j)["h"], F.lit(True)))
+        again = lambda x, o: F.when(o == 0, x["h"]).otherwise(F.xxhash64(x["h"], o.cast("long")))
+        run = lambda s, k, z: F.transform(F.slice(t, s + 1, F.coalesce(F.get(z, k + 1), F.size(t)) - s), lambda x, o: let(again(x, o), lambda h: entry(h, x["i"])))
+        return let(starts, lambda z: F.flatten(F.transform(z, lambda s, k: run(s, k, z))))
 
     def split(s: Column) -> Column:
         twin = lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False))
-        ones = F.transform(F.filter(s, lambda x, j: ~twin(x, j)), lambda x: F.struct(F.xxhash64(x["h"], F.lit(0).cast("long")).alias("h"), x["i"].alias("i")))
+        ones = F.transform(F.filter(s, lambda x, j: ~twin(x, j)), lambda x: entry(x["h"], x["i"]))
         return F.concat(ones, let(F.filter(s, twin), numbered))
 
-    return F.when(
-        F.size(F.array_distinct(hashes)) == F.size(hashes),
-        F.transform(simple, lambda x: F.struct(F.xxhash64(x["h"], F.lit(0).cast("long")).alias("h"), x["i"].alias("i"))),
-    ).otherwise(let(F.sort_array(simple), split))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.transform(hashes, entry)).otherwise(
+        let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), split)
+    )
 
 
 def fingerprint(text: Column, k: int = K, picks: int = PICKS, coordinates: int = COORDINATES) -> Column:
@@ -53,33 +54,23 @@ def fingerprint(text: Column, k: int = K, picks: int = PICKS, coordinates: int =
     t = F.coalesce(text, F.lit(""))
     symbols = F.regexp_extract_all(t, F.lit(f"[^{WS_CLASS}]{{1,{PIECE}}}"), F.lit(0))
 
-    def of_kmers(pairs: Column) -> Column:
-        # smallest hashes first within each coordinate: (coordinate, hash, position)
-        ranked = F.sort_array(F.transform(pairs, lambda x: F.struct(F.pmod(x["h"], F.lit(coordinates)).alias("c"), x["h"].alias("h"), x["i"].alias("i"))))
-
-        def tuples(s: Column) -> Column:
-            own = lambda x, j: F.coalesce(F.get(s, j - picks)["c"] != x["c"], F.lit(True))
-            best = F.filter(s, own)  # at most picks of each coordinate
-            ordered = F.sort_array(F.transform(best, lambda x: F.struct(x["c"].alias("c"), x["i"].alias("i"), x["h"].alias("h"))))
-            return let(
-                ordered,
-                lambda b: F.array_join(
-                    F.transform(
-                        F.sequence(F.lit(0), F.lit(coordinates - 1)),
-                        lambda c: let(
-                            F.transform(F.filter(b, lambda x: x["c"] == c), lambda x: x["h"]),
-                            lambda own: F.when(F.size(own) == 0, F.lit("." * DIGITS)).otherwise(F.substring(F.lower(F.lpad(F.hex(F.xxhash64(own)), 16, "0")), 1, DIGITS)),
-                        ),
-                    ),
-                    "",
-                ),
-            )
-
-        return let(ranked, tuples)
+    def tuples(s: Column) -> Column:
+        # s: smallest hashes first within each coordinate, of which the first picks stay
+        best = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - picks)["c"] != x["c"], F.lit(True)))
+        ordered = F.sort_array(F.transform(best, lambda x: F.struct(x["c"].alias("c"), x["i"].alias("i"), x["h"].alias("h"))))
+
+        def hashed(b: Column, first: Column, c: Column) -> Column:
+            own = F.transform(F.filter(F.slice(b, first, picks), lambda x: x["c"] == c), lambda x: x["h"])
+            return F.when(first == 0, F.lit("." * DIGITS)).otherwise(F.substring(F.lower(F.lpad(F.hex(F.xxhash64(own)), 16, "0")), 1, DIGITS))
+
+        def of_coordinates(b: Column, at: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(coordinates - 1)), lambda c: let(F.array_position(at, c.cast("long")).cast("int"), lambda first: hashed(b, first, c))), "")
+
+        return let(ordered, lambda b: let(F.transform(b, lambda x: x["c"]), lambda at: of_coordinates(b, at)))
 
     def of_symbols(w: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))
-        return F.when(F.size(w) == 0, F.lit("")).otherwise(let(runs, lambda h: let(_occurrences(h), of_kmers)))
+        return F.when(F.size(w) == 0, F.lit("")).otherwise(let(runs, lambda h: let(F.sort_array(_competitors(h, coordinates)), tuples)))
 
     return let(symbols, of_symbols)
 
