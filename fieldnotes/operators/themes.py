@@ -53,15 +53,16 @@ def quotes(findings: DataFrame, k: int = 4, column: str = "customer_quote", out:
     return top.groupBy(THEME).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda x: x["q"]), " || ").alias(out))
 
 
-def first_distinct(findings: DataFrame, column: str, k: int, out: str, sep: str) -> DataFrame:
-    """theme, the k smallest distinct values of a column."""
-    d = findings.filter(F.col(column).isNotNull()).select(THEME, F.col(column).cast("string").alias("v")).distinct()
-    top = d.withColumn("_i", F.row_number().over(Window.partitionBy(THEME).orderBy("v"))).filter(F.col("_i") <= k)
+def first_distinct(findings: DataFrame, column: str, k: int | None, out: str, sep: str) -> DataFrame:
+    """theme, the k smallest distinct values of a column; all of them if k is None."""
+    top = findings.filter(F.col(column).isNotNull()).select(THEME, F.col(column).cast("string").alias("v")).distinct()
+    if k is not None:
+        top = top.withColumn("_i", F.row_number().over(Window.partitionBy(THEME).orderBy("v"))).filter(F.col("_i") <= k)
     return top.groupBy(THEME).agg(F.array_join(F.array_sort(F.collect_list("v")), sep).alias(out))
 
 
 def summary(findings: DataFrame, customers: DataFrame) -> DataFrame:
-    """One row per theme: counts, labels, means and samples; most customers first."""
+    """One row per theme: counts, labels, means, samples, and all its customers' ids; most customers first."""
     f = findings.withColumn("_led", tx.safe_bool(F.col("leading_or_contaminated")))
     base = f.groupBy(THEME).agg(
         _mode("theme_label").alias("representative_theme_label"),
@@ -77,7 +78,7 @@ def summary(findings: DataFrame, customers: DataFrame) -> DataFrame:
         mix(findings, "customer_origin", "origin_mix"),
         quotes(findings),
         first_distinct(findings, "one_sentence_description", 3, "top_descriptions", " || "),
-        first_distinct(findings, "customer_id", 8, "customer_ids", "; "),
+        first_distinct(findings, "customer_id", None, "customer_ids", "; "),
     ]
     if "roles_affected" in findings.columns:
         parts.append(first_distinct(findings.select(THEME, F.explode("roles_affected").alias("role")), "role", 1_000_000, "roles_affected", "; "))
@@ -233,7 +234,7 @@ def association(findings: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def want_gap(findings: DataFrame, theme_scores: DataFrame, customers: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Stated wishes against revealed problems per theme, with a class."""
+    """Stated wishes against revealed problems per theme, with a class and the ids of all customers on either side."""
     f = flags(within(findings, customers), config)
     g = f.groupBy(THEME).agg(
         _mode("theme_label").alias("representative_theme_label"),
@@ -266,7 +267,7 @@ def want_gap(findings: DataFrame, theme_scores: DataFrame, customers: DataFrame,
         kind.alias("classification"),
     )
     for flag, name in (("stated_want_signal", "stated_customers"), ("revealed_pain_signal", "revealed_customers")):
-        out = out.join(first_distinct(f.filter(flag), "customer_id", 8, name, "; "), THEME, "left").withColumn(name, F.coalesce(name, F.lit("")))
+        out = out.join(first_distinct(f.filter(flag), "customer_id", None, name, "; "), THEME, "left").withColumn(name, F.coalesce(name, F.lit("")))
     out = out.join(theme_scores.select(THEME, "opportunity_score"), THEME, "left").na.fill(0.0, ["opportunity_score"])
     return out.orderBy(F.desc("opportunity_score"), F.desc("revealed_pain_customer_count"), F.desc("all_customer_count"), THEME)
 

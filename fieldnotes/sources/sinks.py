@@ -57,10 +57,10 @@ def write_template(template: DataFrame, path: str, overwrite: bool = False) -> b
 
 
 def packet(findings: DataFrame, audit: DataFrame, customers: DataFrame, summary: DataFrame) -> dict:
-    """The evidence packet: totals and slices of at most 60 rows each."""
+    """The evidence packet: totals, the ids of all customers, and slices of at most 60 rows each."""
     rows = lambda df: [json.loads(x[0]) for x in df.select(F.to_json(F.struct("*"))).collect()]
     t = fd.totals(findings, audit, customers).first().asDict()
-    t["customer_ids"] = [r[0] for r in customers.select("customer_id").distinct().orderBy("customer_id").limit(1000).collect()]
+    t["customer_ids"] = [r[0] for r in customers.select("customer_id").distinct().orderBy("customer_id").collect()]
     out = {"dataset": t, "theme_summary_top": rows(summary.limit(25))}
     out |= {k: rows(v) for k, v in fd.slices(findings).items()}
     out["interviewer_audit_top"] = rows(fd.top_audit(audit))
