@@ -3,11 +3,15 @@
 The patterns find protected entities. Over the whole corpus, co-occurrence counts (documents in
 which a term stands within WINDOW words of an entity) and document frequencies give each pair's
 pointwise mutual information; a term discloses an entity if that reaches DISCLOSURE of the
-entity's own information content, with at least SUPPORT documents. Disclosing terms become
-spans of kind `term` wherever they occur, and are generalised to a label or removed.
+entity's own information content. The share of a term's documents that have the entity near it
+is smoothed by PRIOR documents without it, so entities of one or two documents count too, and
+a rare term discloses only where chance explains it less than the entity's own content.
+Disclosing terms become spans of kind `term` wherever they occur outside the patterns' spans,
+and are generalised to a label or removed.
 
 Counts are added up per batch before any shuffle. Terms are first looked up in a bitmap of
-fixed size and then joined exactly, so nothing broadcast grows with the input.
+fixed size and then joined exactly, so nothing broadcast grows with the input. Pairs that the
+documents near entities alone rule out are left before the frequencies are counted.
 
 Defined cases: null counts as the empty text; a failed check (range, Luhn, digits) drops a
 match without another try; kinds may overlap each other; rows that repeat are documents each.
@@ -31,10 +35,11 @@ from .bpe import batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 5
-SUPPORT = 3
+#: Documents without the entity that are added to those of a term.
+PRIOR = 1
 DISCLOSURE = 0.9
-#: Bits of the bitmap.
-BITS = 1 << 20
+#: Bits of the bitmap, a power of two.
+BITS = 1 << 24
 EDGES = ".,;:!?()[]{}\"'|"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -93,11 +98,24 @@ def is_term(t: str) -> bool:
     return len(t) >= 3 and t.isalpha()
 
 
+def _outside(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """start, end and text of the words that touch none of the spans."""
+    words, spans, i, reach = [], sorted(spans), 0, 0
+    for m in _WORD.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            reach = max(reach, spans[i][1])
+            i += 1
+        if m.start() >= reach:
+            words.append((m.start(), m.end(), m[0]))
+    return words
+
+
 def _near(text: str, found: dict[str, list[tuple[int, int]]], window: int) -> tuple[set[str], set[tuple[str, str]]]:
     """The entities of a text and (entity, term) pairs of terms near them."""
     every = [(s, e, k) for k, v in found.items() for s, e in v]
     if not every:
         return set(), set()
+    own = {w[0] for w in _outside(text, [(s, e) for s, e, _ in every])}
     words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     starts = [w[0] for w in words]
     entities, pairs = set(), set()
@@ -107,13 +125,13 @@ def _near(text: str, found: dict[str, list[tuple[int, int]]], window: int) -> tu
         lo = int(np.searchsorted(starts, s, "right")) - 1
         hi = int(np.searchsorted(starts, e, "left"))
         for w in words[max(0, lo - window) : lo] + words[hi : hi + window]:
-            if is_term(t := term(w[2])):
+            if w[0] in own and is_term(t := term(w[2])):
                 pairs.add((name, t))
     return entities, pairs
 
 
 def cooccurrence(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """entity, term, n: documents that hold the entity (term null) or both near each other."""
+    """entity, term, n: documents that hold the entity (term null), both near each other, or the term near any entity (entity null)."""
 
     def run(it):
         for b in it:
@@ -124,17 +142,21 @@ def cooccurrence(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
                     entities, pairs = _near(x, base_spans(x), window) if x else ((), ())
                     n.update((e, None) for e in entities)
                     n.update(pairs)
+                    n.update((None, w) for w in {w for _, w in pairs})
                 yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["entity", "term", "n"])
 
     return docs.select(text).mapInArrow(releasing(run), "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
 
 
 def _bitmap(terms: DataFrame) -> bytes:
-    """Of fixed size: at most BITS numbers come to the driver."""
-    bits = np.zeros(BITS, bool)
-    at = [r["b"] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(BITS)).cast("int").alias("b")).distinct().collect()]
-    bits[at] = True
-    return np.packbits(bits).tobytes()
+    """Two bits a term, of fixed size: at most BITS / 32 numbers come to the driver."""
+    h = F.xxhash64("term")
+    bit = F.explode(F.array(h.bitwiseAND(F.lit(BITS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(BITS - 1)))).alias("b")
+    part = terms.select(bit).groupBy(F.shiftright("b", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("v"))
+    parts = np.zeros(BITS // 32, "<u4")
+    for r in part.collect():
+        parts[r["at"]] = r["v"]
+    return parts.tobytes()
 
 
 def _hits(texts: pa.Array, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -143,7 +165,7 @@ def _hits(texts: pa.Array, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.
     coded = lists.flatten().dictionary_encode()
     terms = pc.utf8_lower(pc.utf8_trim(coded.dictionary, EDGES)).dictionary_encode()
     names = terms.dictionary.to_pylist()
-    known = np.fromiter((is_term(t) and bool(bits[_bit(t)]) for t in names), bool, len(names))
+    known = np.fromiter((is_term(t) and _known(t, bits) for t in names), bool, len(names))
     if not known.any():
         return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = terms.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
@@ -154,9 +176,9 @@ def _hits(texts: pa.Array, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.
     return names, pairs // len(names), pairs % len(names)
 
 
-def _bit(t: str) -> int:
+def _known(t: str, bits: np.ndarray) -> bool:
     h = xxhash.xxh64_intdigest(t.encode(), seed=42)  # as Spark's xxhash64
-    return (h - (1 << 64) if h >> 63 else h) % BITS
+    return bool(bits[h & (BITS - 1)] and bits[(h >> 32) & (BITS - 1)])
 
 
 def frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -164,7 +186,7 @@ def frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     packed = _bitmap(terms)
 
     def run(it):
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
         for b in it:
             t = b.column(0)
             for s, z in batches(t):
@@ -175,18 +197,20 @@ def frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     return docs.select(text).mapInArrow(releasing(run), "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).join(terms, "term")
 
 
-def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
+def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, prior: float = PRIOR, threshold: float = DISCLOSURE) -> DataFrame:
     """The terms that disclose an entity: term, disclosure (its largest share of an entity's information)."""
     counts = save(cooccurrence(docs, text, window))
-    pairs = save(counts.filter(F.col("term").isNotNull() & (F.col("n") >= support)))
-    n = docs.count()
-    df = frequencies(docs, save(pairs.select("term").distinct()), text)
-    entities = counts.filter("term is null").select("entity", F.col("n").alias("ne"))
-    each = pairs.join(entities, "entity").join(save(df), "term")
-    total = F.lit(float(n))
+    total = F.lit(float(docs.count()))
     content = F.log2(total / F.col("ne"))
-    share = F.when(content > 0, F.log2(F.col("n") * total / (F.col("df") * F.col("ne"))) / content)
-    return save(each.select("term", share.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold))
+    # mutual information as the content less the bits that the term leaves open
+    share = lambda df: F.when(content > 0, 1 + F.log2(F.col("n") / (df + F.lit(float(prior)))) / content)
+    entities = counts.filter("term is null").select("entity", F.col("n").alias("ne"))
+    near = counts.filter("entity is null").select("term", F.col("n").alias("near"))
+    pairs = counts.filter("entity is not null and term is not null").join(entities, "entity").join(near, "term")
+    pairs = save(pairs.filter(share(F.col("near")) >= threshold).drop("near"))  # df is near or more
+    df = frequencies(docs, save(pairs.select("term").distinct()), text)
+    each = pairs.join(save(df), "term")
+    return save(each.select("term", share(F.col("df")).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold))
 
 
 def find(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (), **how) -> DataFrame:
@@ -196,7 +220,7 @@ def find(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (), **how
     names_ = [c for c in carry if c not in ("_uid", "_spans", "_terms")]
 
     def run(it):
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
         any_ = bool(bits.any())
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         hit = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -215,7 +239,8 @@ def find(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (), **how
                     found = base_spans(x) if x else {}
                     spans.append([{"kind": k, "start": a, "end": e} for k, v in found.items() for a, e in v])
                     mine = some.get(i)
-                    hits.append([{"term": w, "start": m.start() + m[0].find(m[0].strip(EDGES)), "end": m.start() + m[0].find(m[0].strip(EDGES)) + len(m[0].strip(EDGES))} for m in _WORD.finditer(x) if (w := term(m[0])) in mine] if mine else [])
+                    free = _outside(x, [p for v in found.values() for p in v]) if mine else []
+                    hits.append([{"term": w, "start": a + m.find(m.strip(EDGES)), "end": a + m.find(m.strip(EDGES)) + len(m.strip(EDGES))} for a, _, m in free if (w := term(m)) in mine])
                 rest = [b.column(i).slice(s, z - s) for i, n in enumerate(b.schema.names) if n != "_text"]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(spans, span), pa.array(hits, hit)], [*(n for n in b.schema.names if n != "_text"), "_spans", "_terms"])
 
