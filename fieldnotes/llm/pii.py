@@ -9,6 +9,10 @@ a rare term discloses only where chance explains it less than the entity's own c
 Disclosing terms become spans of kind `term` wherever they occur outside the patterns' spans,
 and are generalised to a label or removed.
 
+A term is any word without the marks around it, in lower case: letters, digits, hyphens and
+apostrophes alike, of any length. Words that touch a pattern's span are no candidates; a term's
+document frequency counts all documents that hold it as a word.
+
 Counts are added up per batch before any shuffle. Terms are first looked up in a bitmap of
 fixed size and then joined exactly, so nothing broadcast grows with the input. Pairs that the
 documents near entities alone rule out are left before the frequencies are counted.
@@ -94,10 +98,6 @@ def term(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
-def is_term(t: str) -> bool:
-    return len(t) >= 3 and t.isalpha()
-
-
 def _outside(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """start, end and text of the words that touch none of the spans."""
     words, spans, i, reach = [], sorted(spans), 0, 0
@@ -125,7 +125,7 @@ def _near(text: str, found: dict[str, list[tuple[int, int]]], window: int) -> tu
         lo = int(np.searchsorted(starts, s, "right")) - 1
         hi = int(np.searchsorted(starts, e, "left"))
         for w in words[max(0, lo - window) : lo] + words[hi : hi + window]:
-            if w[0] in own and is_term(t := term(w[2])):
+            if w[0] in own and (t := term(w[2])):
                 pairs.add((name, t))
     return entities, pairs
 
@@ -165,7 +165,7 @@ def _hits(texts: pa.Array, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.
     coded = lists.flatten().dictionary_encode()
     terms = pc.utf8_lower(pc.utf8_trim(coded.dictionary, EDGES)).dictionary_encode()
     names = terms.dictionary.to_pylist()
-    known = np.fromiter((is_term(t) and _known(t, bits) for t in names), bool, len(names))
+    known = np.fromiter((t != "" and _known(t, bits) for t in names), bool, len(names))
     if not known.any():
         return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
     code = terms.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
