@@ -81,8 +81,6 @@ class Config:
     bootstrap_seed: int = 42
     top_terms: int = 75
     cluster_distance: float = 0.35
-    #: More findings than this are grouped by their labels instead of clustered.
-    cluster_rows: int = 4000
 
 
 DEFAULT = Config()

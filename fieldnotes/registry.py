@@ -206,11 +206,8 @@ def metadata_unmatched(s: SparkSession, d: str) -> DataFrame:
 
 
 def theme_clusters(s: SparkSession, d: str) -> DataFrame:
-    """Average linkage of the label means of the embeddings and their halves, a bounded set whatever the table's size."""
-    e = fx.table(s, d, "embeddings").select((F.col("label") * 4 + F.pmod(F.col("vec_id"), F.lit(4))).cast("long").alias("k"), F.posexplode("embedding").alias("i", "v"))
-    means = e.groupBy("k", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    vectors = means.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vector"))
-    return clusters.cluster_vectors(vectors, "k", "vector", DEFAULT.cluster_distance, DEFAULT.cluster_rows)
+    """Average linkage of all embeddings."""
+    return clusters.cluster_vectors(fx.table(s, d, "embeddings"), "vec_id", "embedding", DEFAULT.cluster_distance)
 
 
 def customer_tokens(s: SparkSession, d: str) -> DataFrame:
