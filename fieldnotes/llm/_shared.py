@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +18,8 @@ WS_CLASS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 _own: list[str] = []
+#: Tables saved since the outermost once() began, oldest first.
+_made: list[DataFrame] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a folder of this process."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a folder of this process, but only in local mode: no other machine can see it."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="fieldnotes-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -47,16 +50,42 @@ def tasks(*tables: DataFrame, each: int = 4_000_000, least: int = 1) -> int:
 def save(df: DataFrame, n: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation before it.
 
-    n: tasks that the last step is worth; it gets no more than that.
+    n: tasks that the last step is worth; it gets no more than that. The shuffle files of the
+    step go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    (df if n is None or n >= partitions(spark) else df.coalesce(n)).write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        (df if n is None or n >= partitions(spark) else df.coalesce(n)).write.parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    _made.append(out)
     return out
 
 
+def once(make: Callable[[], DataFrame]) -> DataFrame:
+    """The saved result of make(); the tables that were saved on the way are dropped."""
+    mark = len(_made)
+    out = save(make())
+    drop(*_made[mark:-1])
+    _made[mark:] = [out]
+    return out
+
+
+def packed(columns: list[str]) -> Column:
+    """The columns as one struct of fields c0, c1, ..., so that no name can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]) if columns else F.lit(None).cast("int")
+
+
+def unpacked(row: str, columns: list[str]) -> list[Column]:
+    return [F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of save() that no later step reads."""
     for df in tables:
@@ -66,14 +95,6 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps; it does so when the driver collects its garbage."""
-    for _ in range(2):  # the first round frees what Python held, the second what that held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def releasing(run):
     """For mapInArrow: give freed memory back when a task ends, since the worker stays and idles beside the steps that follow."""
 

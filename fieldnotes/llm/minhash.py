@@ -8,7 +8,8 @@ every coordinate fills, and two sets agree in a coordinate with probability equa
 Jaccard similarity, with strong concentration. Bands of ROWS coordinates make the candidates:
 at similarity 0.75 a pair shares no band with probability (1 - 0.75^4)^32, about 5e-6.
 
-Equal sets are one class. Links between classes are confirmed on full texts. Every bucket (a
+Rows of equal words (by SHA-256 of the words in order) are one class. Links between classes are
+confirmed on full texts, word for word. Every bucket (a
 band's value) first compares its members with its pivot, the member that shares most buckets
 with others. The buckets that still span components and whose pivots are in one component form
 a family. Its open members, those outside that component, are compared with all its members on
@@ -26,21 +27,25 @@ all of theirs, and compared with the members nearest to C; those that stay open
 share as much with C.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing;
-fewer words than a shingle has are one shingle; repeated rows have equal sets, so one class;
-texts of any length are taken whole.
+fewer words than a shingle has are one shingle; repeated rows have equal words, so one class;
+texts of any length are taken whole; null and repeated keys, see groups and deduplicate; an
+empty table gives an empty one; columns of any name pass through deduplicate unchanged.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._shared import WS_CHARS, drop, releasing, save, tasks, tidy
-from .bpe import batches, gather, raw_bytes
+from ._shared import drop, packed, releasing, save, tasks, unpacked
+from .bpe import batches, gather
 from .graph import components
 
 SHINGLE = 5
@@ -54,14 +59,9 @@ ASK_BLOCK, MEMBER_BLOCK, SHINGLE_BLOCK = 1024, 4096, 2_000_000
 BLOCKS = 8
 BATCH_BYTES = 1_000_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[ord(c) for c in WS_CHARS]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-#: One random odd-looking number per byte value, from a fixed seed.
-_BYTE = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_P), -1, 2**64))
+#: Seed of the hashes of words.
+SEED = 0x5EED
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,48 +74,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_cached: dict[str, np.ndarray] = {}
+def word_lists(texts: pa.Array) -> pa.Array:
+    """The words of each text, A-Z lower-cased; a blank one has a single empty word."""
+    t = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(t))
 
 
-def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_cached.get("p", ())) < n:
-        size = max(n, BATCH_BYTES + 1)
-        _cached["p"], _cached["i"] = _powers(_P, size), _powers(_INVERSE, size)
-    return _cached["p"][:n], _cached["i"][:n]
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased), text after text, and how many each text has."""
-    raw, sizes = raw_bytes(pc.fill_null(texts.cast(pa.large_string()), ""))
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(sizes), np.int64)
-    raw = _LOWER[raw]
-    inside = ~_SPACE[raw]
-    ends = np.cumsum(sizes)
-    first = np.zeros(n + 1, bool)
-    first[np.append(0, ends)] = True
-    first = first[:n]
-    begin = inside & (np.append(True, ~inside[:-1]) | first)
-    stop = inside & np.append(~inside[1:] | first[1:], True)
-    b, z = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    up, down = _both_powers(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[:n], dtype=np.uint64)])
-    h = mix((sums[z] - sums[b]) * down[b] + (z - b).astype(np.uint64))
-    count = np.diff(np.searchsorted(b, np.append(0, ends)))
-    return h, count
+def word_hashes(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes (XXH3) of all words, text after text, and how many each text has."""
+    coded = lists.flatten().dictionary_encode()
+    each = np.fromiter((xxhash.xxh3_64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    count = np.diff(lists.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
+    empty = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) == 0)[code] if len(code) else np.zeros(0, bool)
+    of = np.repeat(np.arange(len(count)), count)
+    count = count - np.bincount(of[empty], minlength=len(count))
+    return each[code[~empty]] if len(code) else np.zeros(0, np.uint64), count
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes."""
-    h, count = word_hashes(texts)
+    return _sets_of(word_lists(texts), k)
+
+
+def _sets_of(lists: pa.Array, k: int) -> list[np.ndarray]:
+    h, count = word_hashes(lists)
     starts = np.cumsum(count) - count
     if len(h) >= k:
         s = np.zeros(len(h) - k + 1, np.uint64)
@@ -175,21 +158,27 @@ def shingles(text: str | None, k: int = SHINGLE) -> set:
     return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """key, n_shingles, set_key (equal for equal sets, null for the empty one), bands."""
+def signatures(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """Add to rows (text, ...) n_shingles, words_key (SHA-256 of the words in order, null without words), text_key (that of the text itself) and bands."""
 
     def run(it):
         for b in it:
-            keys, t = b.column(0), b.column(1)
+            t = b.column(b.schema.get_field_index("text"))
             for s, z in batches(t, BATCH_BYTES):
-                sets = shingle_sets(t.slice(s, z - s), k)
-                lists = bands(sketches(sets))
+                part = t.slice(s, z - s)
+                lists = word_lists(part)
+                sets = _sets_of(lists, k)
+                marks = bands(sketches(sets))
                 n = np.array([len(x) for x in sets], np.int64)
-                names = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-                col = pa.ListArray.from_arrays(pa.array(np.arange(0, lists.size + 1, lists.shape[1]), pa.int32()), pa.array(lists.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([keys.slice(s, z - s), pa.array(n), pa.array(names, pa.binary()), col], [key, "n_shingles", "set_key", "bands"])
+                said = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).to_pylist()
+                words = [hashlib.sha256(w.encode()).digest() if w else None for w in said]
+                whole = [None if x is None else hashlib.sha256(x.encode()).digest() for x in part.to_pylist()]
+                col = pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size + 1, marks.shape[1]), pa.int32()), pa.array(marks.reshape(-1)))
+                more = [pa.array(n), pa.array(words, pa.binary()), pa.array(whole, pa.binary()), col]
+                yield pa.RecordBatch.from_arrays([*b.slice(s, z - s).columns, *more], [*b.schema.names, "n_shingles", "words_key", "text_key", "bands"])
 
-    return docs.select(key, text).mapInArrow(releasing(run), f"{key} {dict(docs.dtypes)[key]}, n_shingles long, set_key binary, bands array<long>")
+    more = StructType.fromDDL("n_shingles long, words_key binary, text_key binary, bands array<long>")
+    return rows.mapInArrow(releasing(run), StructType([*rows.schema.fields, *more.fields]))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataFrame:
@@ -371,23 +360,25 @@ def _merge(comp: DataFrame | None, links: DataFrame, n: int) -> DataFrame:
     return save(moved.unionByName(step.join(comp.select("id"), "id", "left_anti")), n)
 
 
-def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", k: int = SHINGLE, small: int = SMALL, blocks: int = BLOCKS) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable by links), kept (key = component_id). key: a long without nulls."""
+def _grouped(docs: DataFrame, row: Column, percent: int, key: str, text: str, k: int, small: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (uid, row, key, text, n_shingles, words_key, text_key, bands), and the group of every class of rows with equal words: words_key, group.
+
+    A row has an id of its own (uid), so rows without a key or with a repeated one are rows like
+    any other. A class goes by its smallest uid.
+    """
     spark = docs.sparkSession
-    signed = save(signatures(docs, key, text, k))
-    classes = save(signed.filter("set_key is not null").groupBy("set_key").agg(F.min(key).alias("id")))
-    heads = classes.join(signed.select("set_key", F.col(key).alias("id"), F.col("n_shingles").alias("size"), "bands"), ["set_key", "id"]).dropDuplicates(["id", "set_key"])
-    rows = save(heads.select("id", "size", F.explode("bands").alias("bucket")))
-    shared = save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    found = save(rows.join(shared, "bucket"))
+    rows = signatures(docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), k)
+    signed = save(rows.withColumn("uid", F.monotonically_increasing_id()))  # ids are fixed once written
+    classes = save(signed.filter("words_key is not null").groupBy("words_key").agg(F.min("uid").alias("id")))
+    heads = signed.select(F.col("uid").alias("id"), F.col("n_shingles").alias("size"), "bands", "text").join(classes.select("id"), "id")
+    buckets = save(heads.select("id", "size", F.explode("bands").alias("bucket")))
+    shared = save(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    found = save(buckets.join(shared, "bucket"))
     weight = save(found.groupBy("id").agg(F.sum("n").alias("weight"), F.max("size").alias("size")))
     members = save(found.select("id", "bucket").join(weight, "id"))
-    drop(rows, shared, found)
+    drop(buckets, shared, found)
     # the texts of classes that share a bucket, once each
-    mine = signed.select(F.col(key).alias("id"), "set_key").join(classes, ["set_key", "id"]).select("id").distinct()
-    texts = save(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(save(mine.join(weight.select("id"), "id")), "id").dropDuplicates(["id"]))
-    del heads, mine
-    tidy(spark)
+    texts = save(heads.select("id", "text").join(weight.select("id"), "id"))
     comp, turn = None, 0
     n_text = tasks(texts, each=2_000_000)
     while True:
@@ -420,16 +411,43 @@ def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str =
             rest = again.select("id", F.xxhash64("f", "s", F.lit(turn)).alias("bucket")).join(weight, "id").select("id", "bucket", "weight", "size")
         old, members = members, save(rest, n)
         drop(old, now, open_, live)
-        tidy(spark)
         turn += 1
     if comp is None:
         comp = classes.select("id", F.col("id").alias("comp")).limit(0)
-    named = save(classes.join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("component_id")))
-    out = signed.select(key, "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component_id", F.coalesce("component_id", key))
-    return out.select(key, "n_shingles", "component_id", (F.col(key) == F.col("component_id")).alias("kept"))
+    return signed, save(classes.join(comp, "id", "left").select("words_key", F.coalesce("comp", "id").alias("group")))
 
 
-def deduplicate(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay: the one of the smallest key of each group, once."""
-    stay = groups(docs, percent, key, text).filter("kept").select(key).distinct()
-    return docs.join(save(stay), key).dropDuplicates([key]).select(*docs.columns)
+def groups(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", k: int = SHINGLE, small: int = SMALL, blocks: int = BLOCKS) -> DataFrame:
+    """One row per row of docs: key, n_shingles, component_id (the smallest key reachable by links), kept (key = component_id).
+
+    Null keys are larger than all others: a row without a key has a component_id if it is
+    linked with one that has, and is kept if there is none.
+    """
+    signed, named = _grouped(docs, F.lit(None).cast("int"), percent, key, text, k, small, blocks)
+    per_class = signed.filter("words_key is not null").groupBy("words_key").agg(F.min("key").alias("least"))
+    with_group = save(per_class.join(named, "words_key"))
+    least = with_group.groupBy("group").agg(F.min("least").alias("component"))
+    to = save(with_group.join(least, "group").select("words_key", "component"))
+    out = signed.select("key", "n_shingles", "words_key").join(to, "words_key", "left")
+    component = F.when(F.col("words_key").isNull(), F.col("key")).otherwise(F.col("component"))
+    out = out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", k: int = SHINGLE, small: int = SMALL, blocks: int = BLOCKS) -> DataFrame:
+    """The documents that stay, with all their columns: of each group the row of the smallest key (nulls last), of those the one whose text has the smallest SHA-256.
+
+    Rows without words are linked with nothing, so they stay; of rows that repeat both a key
+    and a text, one does.
+    """
+    rest = [c for c in docs.columns if c != text]
+    signed, named = _grouped(docs, packed(rest), percent, key, text, k, small, blocks)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_key", "uid")).alias("m")
+    per_class = save(signed.filter("words_key is not null").groupBy("words_key").agg(first))
+    best = F.min("m")["uid"].alias("uid")
+    stay = per_class.join(named, "words_key").groupBy("group").agg(best).select("uid")
+    wordless = signed.filter("words_key is null").select("uid", "key", "text_key")
+    once = wordless.filter("key is not null").groupBy("key", "text_key").agg(F.min("uid").alias("uid")).select("uid")
+    stay = save(stay.unionByName(once).unionByName(wordless.filter("key is null").select("uid")))
+    kept = signed.join(stay, "uid", "left_semi")
+    return kept.select(*unpacked("row", rest), F.col("text").alias(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

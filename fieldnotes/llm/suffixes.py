@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, partitions, save, tidy
+from ._shared import drop, partitions, save
 from .bpe import gather, raw_bytes
 from .minhash import mix
 
@@ -272,7 +272,6 @@ def spans(docs: DataFrame, output, schema: str, key: str = "doc_id", text: str =
     first = dealt.groupBy("_batch").applyInArrow(listed, "bucket long, batch long, hashes binary, twice binary")
     found = save(first.groupBy("bucket").applyInArrow(shared, "batch long, hashes binary"))
     del first  # its shuffle files go only when nothing refers to it
-    tidy(spark)
 
     sent = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 
@@ -365,9 +364,7 @@ def spans(docs: DataFrame, output, schema: str, key: str = "doc_id", text: str =
     second = save(by_batch.applyInArrow(contexts, shape))
     del by_batch
     drop(found)
-    tidy(spark)
     third = save(second.filter("kind = 0").groupBy("bucket").applyInArrow(compared, shape))
-    tidy(spark)
     back = second.filter("kind > 0").unionByName(third).withColumnRenamed("batch", "_batch")
 
     from pyspark.sql.types import StructType
