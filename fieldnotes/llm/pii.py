@@ -33,8 +33,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._shared import releasing, save, without
+from ._shared import packed, releasing, save, unpacked
 from .bpe import batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -163,12 +164,13 @@ def _hits(texts: pa.Array, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.
     """Terms of the texts that the bitmap knows, and (text, term) pairs, each once."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = lists.flatten().dictionary_encode()
-    terms = pc.utf8_lower(pc.utf8_trim(coded.dictionary, EDGES)).dictionary_encode()
-    names = terms.dictionary.to_pylist()
+    index: dict[str, int] = {}
+    of_word = np.fromiter((index.setdefault(term(w), len(index)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    names = list(index)
     known = np.fromiter((t != "" and _known(t, bits) for t in names), bool, len(names))
     if not known.any():
         return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = terms.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
+    code = of_word[coded.indices.to_numpy(zero_copy_only=False)]
     at = np.flatnonzero(known[code])
     offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     of = np.searchsorted(offsets - offsets[0], at, "right") - 1
@@ -213,19 +215,18 @@ def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, prior:
     return save(each.select("term", share(F.col("df")).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold))
 
 
-def find(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (), **how) -> DataFrame:
-    """Columns carry of each document, with spans array<struct<kind, start, end>> (base kinds in order, then terms)."""
+def _found(docs: DataFrame, text: str, carry: list[str], **how) -> DataFrame:
+    """row (the carried columns, packed) and spans array<struct<kind, start, end>> (base kinds in order, then terms)."""
     terms = disclosing(docs, text, **how)
-    packed = _bitmap(terms)
-    names_ = [c for c in carry if c not in ("_uid", "_spans", "_terms")]
+    bits_ = _bitmap(terms)
 
     def run(it):
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        bits = np.unpackbits(np.frombuffer(bits_, np.uint8), bitorder="little").astype(bool)
         any_ = bool(bits.any())
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         hit = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in it:
-            t = b.column(b.schema.get_field_index("_text"))
+            t = b.column(1)
             for s, z in batches(t):
                 part = t.slice(s, z - s)
                 held = part.to_pylist()
@@ -241,19 +242,21 @@ def find(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (), **how
                     mine = some.get(i)
                     free = _outside(x, [p for v in found.values() for p in v]) if mine else []
                     hits.append([{"term": w, "start": a + m.find(m.strip(EDGES)), "end": a + m.find(m.strip(EDGES)) + len(m.strip(EDGES))} for a, _, m in free if (w := term(m)) in mine])
-                rest = [b.column(i).slice(s, z - s) for i, n in enumerate(b.schema.names) if n != "_text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(spans, span), pa.array(hits, hit)], [*(n for n in b.schema.names if n != "_text"), "_spans", "_terms"])
-
-    from pyspark.sql.types import StructType
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, z - s), pa.array(spans, span), pa.array(hits, hit)], ["row", "base", "terms"])
 
-    rows = docs.select(*[F.col(c) for c in names_], F.col(text).alias("_text"))
-    extra = StructType.fromDDL("_spans array<struct<kind:string,start:int,end:int>>, _terms array<struct<term:string,start:int,end:int>>")
-    first = save(rows.mapInArrow(releasing(run), StructType([*[f for f in rows.schema.fields if f.name != "_text"], *extra.fields])).withColumn("_uid", F.monotonically_increasing_id()))
-    exact = first.select("_uid", F.inline("_terms")).join(terms, "term")
-    more = save(exact.groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("_more")))
-    out = first.join(more, "_uid", "left")
+    rows = docs.select(packed(carry).alias("row"), F.col(text).alias("text"))
+    extra = StructType.fromDDL("base array<struct<kind:string,start:int,end:int>>, terms array<struct<term:string,start:int,end:int>>")
+    first = save(rows.mapInArrow(releasing(run), StructType([rows.schema["row"], *extra.fields])).withColumn("uid", F.monotonically_increasing_id()))
+    exact = first.select("uid", F.inline("terms")).join(terms, "term")
+    more = save(exact.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("more")))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
-    return without(out.withColumn("spans", F.concat("_spans", F.coalesce("_more", none))), "_uid", "_spans", "_terms", "_more")
+    return first.join(more, "uid", "left").select("row", F.concat("base", F.coalesce("more", none)).alias("spans"))
+
+
+def find(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (), **how) -> DataFrame:
+    """Columns carry of each document, with spans array<struct<kind, start, end>> (base kinds in order, then terms); a carried column of that name is replaced."""
+    held = [c for c in carry if c.lower() != "spans"]
+    return _found(docs, text, held, **how).select(*unpacked("row", held), "spans")
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -267,10 +270,10 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
 
 
 def redact(docs: DataFrame, text: str = "text", generalise: bool = True, **how) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets (or removed); overlapping spans are one, of the first's kind."""
-    found = find(docs, text, tuple(docs.columns), **how)
+    """The documents with every span replaced by its kind in brackets (or removed); overlapping spans are one, of the first's kind. Columns of any name stay as they are."""
+    found = _found(docs, text, docs.columns, **how)
     spans = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
-    t = F.col(text)
+    t = F.col(f"row.c{docs.columns.index(text)}")
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def step(acc, x):
@@ -279,4 +282,5 @@ def redact(docs: DataFrame, text: str = "text", generalise: bool = True, **how)
         return F.struct(F.concat(acc["done"], gap).alias("done"), F.greatest(acc["at"], x["e"]).alias("at"))
 
     new = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("spans") == 0, t).otherwise(new)).select(*docs.columns)
+    clean = F.when(F.size("spans") == 0, t).otherwise(new).alias(text)
+    return found.select(*[clean if c == text else x for c, x in zip(docs.columns, unpacked("row", docs.columns), strict=True)])

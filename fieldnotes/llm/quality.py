@@ -6,8 +6,9 @@ the rates of all hosts (method of moments), and hosts whose shrunk rate of any r
 `host_limit` are rejected as a whole; the verdict is joined back to the documents.
 
 Defined cases: a null text counts as empty (no words, base_failed); null hosts are one host
-of their own; repeated rows are judged each; an empty table gives an empty result; columns
-named like an added one are replaced.
+of their own; repeated rows and rows without a key are judged each; an empty table gives an
+empty result; in `judge` a column named like an added one is replaced, `passing` returns all
+columns as they were.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WS_CHARS, WS_CLASS, let, save, without, words
+from ._shared import WS_CHARS, WS_CLASS, let, packed, save, unpacked, without, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -34,11 +35,18 @@ def _chars_of(text: Column, chars: str) -> Column:
 
 
 def _repeat_words(tokens: Column, window: int = WINDOW) -> Column:
-    """Words covered by a window whose text occurs twice or more; windows are compared by 64-bit hashes."""
+    """Words covered by a window whose words occur twice or more; hashes pick the windows whose words are compared."""
+
+    def twins(s: Column, field: str) -> Column:
+        same = lambda x, j, d: F.coalesce(F.get(s, j + d)[field] == x[field], F.lit(False))
+        return F.filter(s, lambda x, j: same(x, j, -1) | same(x, j, 1))
+
+    def compared(s: Column) -> Column:
+        with_words = F.transform(twins(s, "h"), lambda x: F.struct(x["h"].alias("h"), F.slice(tokens, x["i"] + 1, window).alias("w"), x["i"].alias("i")))
+        return let(F.sort_array(with_words), covered)
 
     def covered(s: Column) -> Column:
-        twin = lambda x, j, d: F.coalesce(F.get(s, j + d)["h"] == x["h"], F.lit(False))
-        starts = F.sort_array(F.transform(F.filter(s, lambda x, j: twin(x, j, -1) | twin(x, j, 1)), lambda x: x["i"]))
+        starts = F.sort_array(F.transform(twins(s, "w"), lambda x: x["i"]))
         return let(
             starts,
             lambda d: F.aggregate(
@@ -50,7 +58,7 @@ def _repeat_words(tokens: Column, window: int = WINDOW) -> Column:
 
     def counted(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs, covered))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs, compared))
 
     hashes = F.transform(F.sequence(F.lit(1), F.size(tokens) - (window - 1)), lambda i: F.xxhash64(F.slice(tokens, i, window)))
     return F.when(F.size(tokens) < window, F.lit(0).cast("long")).otherwise(let(hashes, counted))
@@ -108,11 +116,24 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
     return out.withColumn("host_kept", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) <= limit)
 
 
+def _judged(docs: DataFrame, host: str, text: str, limit: float, carry: list[str]) -> DataFrame:
+    """row (the carried columns, packed), the measures, host_kept and kept."""
+    rows = docs.select(packed(carry).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
+    measured = save(measure(rows).drop("text"))
+    hosts = save(host_verdicts(measured, "host", limit).select(F.col("host").alias("_host"), "host_kept"))
+    out = measured.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host", "host")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True)))
+
+
 def judge(docs: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT, carry: list[str] | None = None) -> DataFrame:
-    """Measure documents and add host_kept and kept; carry: the columns of docs to return (all, if None)."""
+    """The columns of carry (all, if None), the measures, host_kept and kept; a carried column named like an added one is replaced."""
     carry = docs.columns if carry is None else carry
-    m = measure(docs.select(*{*carry, host, text}), text)
-    kept = save(m.select(*[c for c in m.columns if c in carry or c == host or c not in docs.columns or c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed")]))
-    hosts = save(host_verdicts(kept, host, limit).select(F.col("host").alias("_host"), "host_kept"))
-    out = without(kept, "host_kept", "kept").join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True)))
+    judged = _judged(docs, host, text, limit, carry)
+    added = [c for c in judged.columns if c != "row" and not c.startswith("rule_")]
+    held = [(i, c) for i, c in enumerate(carry) if c.lower() not in added]
+    return judged.select(*[F.col(f"row.c{i}").alias(c) for i, c in held], *added)
+
+
+def passing(docs: DataFrame, host: str = "source", text: str = "text", limit: float = HOST_LIMIT) -> DataFrame:
+    """The documents that are kept, with their own columns, whatever those are named."""
+    return _judged(docs, host, text, limit, docs.columns).filter("kept").select(*unpacked("row", docs.columns))
