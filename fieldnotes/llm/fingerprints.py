@@ -1,17 +1,23 @@
 """Order MinHash document fingerprints, in DataFrame functions only.
 
 Symbols are words, cut into pieces of at most PIECE characters so that texts without spaces
-have symbols too. Of each run of K symbols (a k-mer), numbered by its occurrence in the text,
-one 64-bit hash gives both the sketch coordinate it competes in and its rank there (one
-permutation for all coordinates). Each coordinate keeps its PICKS smallest k-mers, puts them
-back into text order and hashes the tuple. So two texts agree in a coordinate only if they
-share the same k-mers in the same order, as edit distance asks.
+have symbols too. Each run of K symbols (a k-mer) is numbered by its occurrence in the text.
+Every coordinate has a hash of its own and ranks all k-mers of the text by it; it takes the
+two that are minimal, one in the hash's order and one in its reverse, puts them back into text
+order and hashes the pair. First and last of a random order are as likely to be any two k-mers
+as its first two are, so two texts agree in a coordinate with the probability that Order
+MinHash with two picks gives: only if they share the same k-mers in the same order, as edit
+distance asks. Both picks are plain minima, so they are aggregated before any shuffle and no
+array of a text is sorted.
 
-Likeness is the share of agreeing coordinates among those that either text fills.
+Likeness is the share of agreeing coordinates.
 
 Defined cases: null counts as the empty text, whose fingerprint is empty; two empty texts have
 likeness 1, an empty and another 0; texts of fewer than K symbols have one k-mer of all of
-them; equal texts have equal fingerprints.
+them, and a single k-mer is both picks; equal texts have equal fingerprints, whatever their
+keys; of two picks the one at the smaller place (modulo 2^24) is first; rows without a key or
+with a repeated one are rows of their own, null keys last; columns other than key and text are
+not read, so none can clash; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,111 +25,117 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WS_CLASS, let, partitions, without
+from ._shared import WS_CLASS, drop, let, partitions, save
 
 K = 3
-PICKS = 2
 COORDINATES = 32
 PIECE = 64
 DIGITS = 8
+#: Low bits of a ranked number that hold the k-mer's place.
+PLACE_BITS = 24
+#: Bytes of text in a range of keys.
+RANGE_BYTES = 64_000_000
 
 
-def _competitors(hashes: Column, coordinates: int) -> Column:
-    """(coordinate, hash, position) of every k-mer; occurrences after the first have their number mixed in, which costs only where hashes repeat."""
-    entry = lambda h, i: F.struct(F.pmod(h, F.lit(coordinates)).alias("c"), h.alias("h"), i.alias("i"))
+#: Low bits of a number that hold a place, below the hash.
+LOW = (1 << PLACE_BITS) - 1
 
-    def numbered(t: Column) -> Column:
-        # t: sorted, so equal hashes are neighbours; each run of them is sliced once
-        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda j: F.coalesce(F.get(t, j - 1)["h"] != F.get(t, j)["h"], F.lit(True)))
-        again = lambda x, o: F.when(o == 0, x["h"]).otherwise(F.xxhash64(x["h"], o.cast("long")))
-        run = lambda s, k, z: F.transform(F.slice(t, s + 1, F.coalesce(F.get(z, k + 1), F.size(t)) - s), lambda x, o: let(again(x, o), lambda h: entry(h, x["i"])))
-        return let(starts, lambda z: F.flatten(F.transform(z, lambda s, k: run(s, k, z))))
 
-    def split(s: Column) -> Column:
-        twin = lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False))
-        ones = F.transform(F.filter(s, lambda x, j: ~twin(x, j)), lambda x: entry(x["h"], x["i"]))
-        return F.concat(ones, let(F.filter(s, twin), numbered))
+def _with_place(h: Column, i: Column) -> Column:
+    return h.bitwiseAND(F.lit(~LOW)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(LOW)))
+
 
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.transform(hashes, entry)).otherwise(
-        let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), split)
-    )
+def _hash_of(v: Column) -> Column:
+    return F.shiftright(v, PLACE_BITS)
 
 
-def fingerprint(text: Column, k: int = K, picks: int = PICKS, coordinates: int = COORDINATES) -> Column:
-    """Fixed-width hex of the coordinates' tuple hashes; dots for an unfilled coordinate; empty for a text without symbols."""
-    t = F.coalesce(text, F.lit(""))
-    symbols = F.regexp_extract_all(t, F.lit(f"[^{WS_CLASS}]{{1,{PIECE}}}"), F.lit(0))
+def kmers(rows: DataFrame, uid: str, text: str, k: int = K) -> DataFrame:
+    """uid, v: a row per k-mer, v its hash with its place in the low bits; the hash of all but the first occurrence has the occurrence's number mixed in.
+
+    Each step is a column of its own, so that sorting and set operations run on plain numbers
+    in generated code.
+    """
+    w = rows.select(F.col(uid).alias("uid"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"[^{WS_CLASS}]{{1,{PIECE}}}"), F.lit(0)).alias("w"))
+    a = w.select("uid", F.transform("w", lambda x: F.xxhash64(x)).alias("a"))
+    run = lambda x, i: _with_place(F.xxhash64(x, *[F.get("a", i + j) for j in range(1, k)]), i)
+    s = a.select("uid", F.sort_array(F.transform(F.slice("a", F.lit(1), F.greatest(F.size("a") - (k - 1), F.lit(1))), run)).alias("s"))
+    # sorted, so equal hashes are neighbours, in the order of their places
+    later = s.select("uid", "s", F.filter("s", lambda x, j: (j > 0) & (_hash_of(x) == _hash_of(F.get("s", F.greatest(j - 1, F.lit(0)))))).alias("t"))
 
-    def tuples(s: Column) -> Column:
-        # s: smallest hashes first within each coordinate, of which the first picks stay
-        best = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - picks)["c"] != x["c"], F.lit(True)))
-        ordered = F.sort_array(F.transform(best, lambda x: F.struct(x["c"].alias("c"), x["i"].alias("i"), x["h"].alias("h"))))
+    def numbered(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda j: F.coalesce(_hash_of(F.get(t, j - 1)) != _hash_of(F.get(t, j)), F.lit(True)))
+        again = lambda x, o: _with_place(F.xxhash64(x.bitwiseAND(F.lit(~LOW)), o.cast("long") + 1), x)
+        of_run = lambda b, n, z: F.transform(F.slice(t, b + 1, F.coalesce(F.get(z, n + 1), F.size(t)) - b), again)
+        return let(starts, lambda z: F.flatten(F.transform(z, lambda b, n: of_run(b, n, z))))
 
-        def hashed(b: Column, first: Column, c: Column) -> Column:
-            own = F.transform(F.filter(F.slice(b, first, picks), lambda x: x["c"] == c), lambda x: x["h"])
-            return F.when(first == 0, F.lit("." * DIGITS)).otherwise(F.substring(F.lower(F.lpad(F.hex(F.xxhash64(own)), 16, "0")), 1, DIGITS))
+    every = F.when(F.size("t") == 0, F.col("s")).otherwise(F.concat(F.array_except("s", "t"), let(F.col("t"), numbered)))
+    return later.select("uid", F.explode(every).alias("v"))
 
-        def of_coordinates(b: Column, at: Column) -> Column:
-            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(coordinates - 1)), lambda c: let(F.array_position(at, c.cast("long")).cast("int"), lambda first: hashed(b, first, c))), "")
 
-        return let(ordered, lambda b: let(F.transform(b, lambda x: x["c"]), lambda at: of_coordinates(b, at)))
+def sketch(rows: DataFrame, uid: str, text: str, k: int = K, coordinates: int = COORDINATES) -> DataFrame:
+    """uid, fingerprint of every row (uid unique) whose text has symbols: fixed-width hex of the coordinates' pairs."""
+    each = kmers(rows, uid, text, k)
+    ranked = lambda c: _with_place(F.xxhash64(F.col("v").bitwiseAND(F.lit(~LOW)), F.lit(c).cast("long")), F.col("v"))
+    picks = each.groupBy("uid").agg(*[x for c in range(coordinates) for x in (F.min(ranked(c)).alias(f"a{c}"), F.max(ranked(c)).alias(f"b{c}"))])
 
-    def of_symbols(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))
-        return F.when(F.size(w) == 0, F.lit("")).otherwise(let(runs, lambda h: let(F.sort_array(_competitors(h, coordinates)), tuples)))
+    def of_pair(c: int) -> Column:
+        a, b = F.col(f"a{c}"), F.col(f"b{c}")
+        first = a.bitwiseAND(F.lit(LOW)) <= b.bitwiseAND(F.lit(LOW))
+        x, y = (_hash_of(F.when(first, p).otherwise(q)) for p, q in ((a, b), (b, a)))
+        return F.substring(F.lower(F.lpad(F.hex(F.xxhash64(x, y)), 16, "0")), 1, DIGITS)
 
-    return let(symbols, of_symbols)
+    return picks.select(F.col("uid").alias(uid), F.concat(*[of_pair(c) for c in range(coordinates)]).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, coordinates: int = COORDINATES) -> Column:
+    """The share of coordinates that agree; 1 for two empty fingerprints, 0 for an empty and another."""
     at = lambda x, c: F.substring(x, c * DIGITS + 1, F.lit(DIGITS))
-    none = F.lit("." * DIGITS)
-    total = lambda f: F.aggregate(F.sequence(F.lit(0), F.lit(coordinates - 1)), F.lit(0), lambda s, c: s + F.when(f(c), 1).otherwise(0))
-    same = total(lambda c: (at(a, c) == at(b, c)) & (at(a, c) != none))
-    either = total(lambda c: (at(a, c) != none) | (at(b, c) != none))
-    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(same / F.greatest(either, F.lit(1)))
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(coordinates - 1)), F.lit(0), lambda s, c: s + F.when(at(a, c) == at(b, c), 1).otherwise(0))
+    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(same / F.lit(float(coordinates)))
+
+
+def in_ranges(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A saved table of the rows (key, text) with _uid, _tie and _bucket: ranges of falling keys (nulls last, ties by a hash of the text), whose bounds are sampled, so that an outlying key costs nothing."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), total // RANGE_BYTES + 1)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumns({"_tie": F.xxhash64("text"), "_uid": F.monotonically_increasing_id()})
+    return save(rows.repartitionByRange(int(n), *_order()).withColumn("_bucket", F.spark_partition_id()))
+
 
+def _order() -> list[Column]:
+    return [F.desc_nulls_last("key"), F.asc("_tie"), F.asc("_uid")]
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text", derive=lambda df: df) -> DataFrame:
-    """Add next_<column> of the next document in descending key (after the last one: of the first), without one task that sees all rows.
 
-    tie: a column that orders rows of one key. derive adds columns once the rows to be sent are known.
+def with_next(ranged: DataFrame, columns: list[str]) -> DataFrame:
+    """Add next_<column> of the next row in the order of in_ranges (after the last one: of the first).
 
-    Rows are dealt into equal ranges of the key; each range also gets a copy of the first row
-    of the next range that has any, so a window per range finds every successor.
+    Each range gets a copy of the first row of the next range that has any, so a window per
+    range finds every successor and no task sees all rows.
     """
-    n = 4 * partitions(docs.sparkSession)
-    ends = docs.agg(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi")).first()
-    lo, hi = (ends["lo"] or 0.0), (ends["hi"] or 0.0)
-    width = max(1.0, (hi - lo + 1) / n)
-    bucket = F.coalesce(F.floor((F.col(key).cast("double") - lo) / width), F.lit(-1)).cast("long")
-    dealt = docs.withColumn("_bucket", bucket)
-    # at most n + 1 rows: the first row of each range, by the order used below
-    order = [F.desc_nulls_last(key), F.asc("_tie")]
-    dealt = dealt.withColumn("_tie", F.xxhash64(tie))
-    firsts = dealt.groupBy("_bucket").agg(F.min(F.struct(F.col(key).isNull().cast("int").alias("z"), (-F.col(key)).alias("k"), F.col("_tie").alias("t"))).alias("f"))
-    listed = firsts.select(F.col("_bucket").alias("b"), F.when(F.col("f.z") == 0, -F.col("f.k")).alias("k"), F.col("f.t").alias("t")).collect()  # bounded by n + 1 ranges
-    listed.sort(key=lambda r: -r["b"])
-    if not listed:
-        return derive(dealt).select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("_bucket", "_tie")
-    heads = [(r["k"], r["t"], listed[i - 1]["b"]) for i, r in enumerate(listed)]  # the range before it, in order; the first's goes to the last
-    small = docs.sparkSession.createDataFrame(heads, f"_k {dict(docs.dtypes)[key]}, _t long, _to long")
-    copies = dealt.join(F.broadcast(small), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_tie") == F.col("_t")))
-    copies = copies.dropDuplicates(["_to"])
-    copies = copies.select(*[F.col("_to").alias("_bucket") if c == "_bucket" else F.col(c) for c in dealt.columns], F.lit(1).alias("_copy"))
-    both = derive(dealt.withColumn("_copy", F.lit(0)).unionByName(copies))
-    w = Window.partitionBy("_bucket").orderBy("_copy", *order)
-    out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
-    return out.filter("_copy = 0").drop("_bucket", "_tie", "_copy")
+    first = F.row_number().over(Window.partitionBy("_bucket").orderBy(*_order()))
+    heads = save(ranged.select("_bucket", "_uid", "key", "_tie").withColumn("_first", first).filter("_first = 1").select("_bucket", "_uid"))  # a row per range
+    by_range = Window.orderBy("_bucket")
+    last = F.last("_bucket").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    to = heads.select("_uid", F.coalesce(F.lag("_bucket").over(by_range), last).alias("_to"))
+    copies = ranged.join(F.broadcast(to), "_uid").withColumn("_bucket", F.col("_to")).drop("_to").withColumn("_copy", F.lit(1))
+    both = ranged.withColumn("_copy", F.lit(0)).unionByName(copies)
+    w = Window.partitionBy("_bucket").orderBy("_copy", *_order())
+    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter("_copy = 0").drop("_copy")
 
 
 def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text (the last third replaced by the start of the next document's text), and their likeness."""
-    base = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = with_next(base, ["text", "fingerprint"], key, derive=lambda df: df.withColumn("fingerprint", fingerprint(F.col("text"))))
+    ranged = in_ranges(docs, key, text)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    out = out.withColumns({"n_chars": n.cast("long"), "edited": edited})
-    out = out.select(key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    return without(out.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_fingerprint"))}), "next_fingerprint")
+    rows = with_next(ranged, ["text", "_uid"]).select("key", "_uid", F.col("next__uid").alias("_next"), n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = save(rows.withColumn("edited_sha256", F.sha2("edited", 256)))
+    own = save(sketch(ranged.select("_uid", "text"), "_uid", "text"))
+    changed = save(sketch(rows.select("_uid", "edited"), "_uid", "edited"))
+    drop(ranged)
+    named = lambda df, uid, name: df.select(F.col("_uid").alias(uid), F.col("fingerprint").alias(name))
+    out = rows.drop("edited").join(named(own, "_uid", "fingerprint"), "_uid", "left").join(named(changed, "_uid", "edited_fingerprint"), "_uid", "left").join(named(own, "_next", "_next_fingerprint"), "_next", "left")
+    out = out.na.fill("", ["fingerprint", "edited_fingerprint", "_next_fingerprint"])
+    near = lambda other: likeness(F.col("fingerprint"), F.col(other))
+    return out.select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("_next_fingerprint").alias("near_next"))
