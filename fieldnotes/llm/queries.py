@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, minhash, packing, pii, quality, suffixes, tokencount, toxicity, url_filters
-from ._shared import table
+from ._shared import once, table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -30,29 +30,29 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = url_filters.judge(pages, labelled_urls(pages, table(spark, sf_dir, "labels")), HAND_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    labels = table(spark, sf_dir, "labels")
+    return once(lambda: url_filters.judge(pages, labelled_urls(pages, labels), HAND_RULES).select("page_id", "host", "path", "rule", "verdict"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.groups(table(spark, sf_dir, "documents"))
+    return once(lambda: minhash.groups(table(spark, sf_dir, "documents")))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return once(lambda: quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"]).select(*columns))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare(table(spark, sf_dir, "documents"))
+    return once(lambda: fingerprints.compare(table(spark, sf_dir, "documents")))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.digests(table(spark, sf_dir, "documents"))
+    return once(lambda: suffixes.digests(table(spark, sf_dir, "documents")))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+    return once(lambda: packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE)))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digests(table(spark, sf_dir, "documents"))
+    return once(lambda: pii.digests(table(spark, sf_dir, "documents")))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
