@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldnotes.llm import minhash, packing, pii, quality, suffixes
-from fieldnotes.llm._shared import save, table
+from fieldnotes.llm._shared import drop, once, table
 from fieldnotes.llm.queries import WORD_BPE, tokenizer_path
 
 #: No SQL expresses the stages after the first; they are tested against brute force.
@@ -23,7 +23,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules of their text and whose host passes."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        kept = once(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        drop(docs)  # the input table itself is none of ours and stays
+        docs = kept
+    return docs
