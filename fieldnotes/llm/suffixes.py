@@ -1,24 +1,26 @@
 """Exact substring dedup with suffix arrays built by two-stage sorting.
 
 A byte goes if a run of LENGTH bytes that covers it also starts in a document with a smaller
-key. Runs that are equal have the same smallest hashed K-gram (their anchor) at the same place,
-so documents are compared only where they share anchors:
-
-1. every document lists its anchors; a batch sends each anchor once, and anchors that two
-   documents share come back to the batches that have them;
-2. around each shared anchor, the bytes of the runs it stands for (a context) are sent to the
-   anchor's bucket, equal contexts of a batch once;
-3. in a bucket, equal contexts fold into one; where different ones share an anchor, a suffix
-   array of their text shows which runs are equal: only suffixes smaller than their successors
-   are sorted directly, the others are induced by a scan over the buckets of first bytes, and
-   neighbours whose common prefix reaches LENGTH are one run. Each run gets its smallest key;
+key. Suffix arrays decide which runs are equal: in one, only suffixes smaller than their
+successors are sorted directly, the others are induced by a scan over the buckets of first
+bytes, and neighbours whose common prefix reaches LENGTH are one class, whose smallest key each
+of its runs learns. No array holds more than a batch or a bucket's part. Equal runs have the
+same smallest hashed K-gram (their anchor) at the same place, which tells where to look:
+
+1. every batch of documents lists its anchors once, and learns which of them other batches have;
+2. a suffix array of the batch, over the runs whose anchor several of its documents have, finds
+   the repeats within it; around each anchor that others have too, the bytes of the runs it
+   stands for (a context) are sent to the anchor's bucket, equal contexts of a batch once (they
+   begin and end with runs of the same classes);
+3. in a bucket, suffix arrays of contexts that share anchors find the repeats across batches;
 4. the batches' documents learn which of their runs have a smaller key elsewhere.
 
 A batch is a bounded number of bytes, so a passage that most documents hold is sent once per
 batch, not once per document.
 
-Defined cases: null counts as the empty text; texts shorter than LENGTH keep all; rows that
-repeat a key don't remove each other; texts of any length are taken whole.
+Defined cases: null counts as the empty text; texts shorter than LENGTH keep all; null keys are
+larger than all others; rows that repeat a key don't remove each other; texts of any length are
+taken whole; an empty table gives an empty one; columns of any name pass through `cut`.
 """
 
 from __future__ import annotations
@@ -30,16 +32,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ._shared import drop, partitions, save
+from ._shared import drop, packed, partitions, save, unpacked
 from .bpe import gather, raw_bytes
 from .minhash import mix
 
 LENGTH = 50
 K = 20
 BATCH_BYTES = 1_000_000
-#: Bytes of text in one suffix array (a single anchor's contexts may pass it).
-SORT_BYTES = 400_000
+#: Bytes of contexts in one suffix array (a single anchor's contexts may pass it).
+SORT_BYTES = 1_500_000
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -82,6 +86,10 @@ def anchors(raw: np.ndarray, sizes: np.ndarray, length: int = LENGTH, k: int = K
     return start[first], count, h[p[first]], p[first]
 
 
+#: The smallest numbers of 1 to 8 bytes.
+_BYTES = np.uint64(256) ** np.arange(8, dtype=np.uint64)
+
+
 def _eights(text: np.ndarray, words: int) -> np.ndarray:
     """At each place the next eight bytes as one number, the first one highest; zeros follow the end."""
     w = np.concatenate([text, np.zeros(words * 8, np.uint8)]).astype(np.uint64)
@@ -90,91 +98,122 @@ def _eights(text: np.ndarray, words: int) -> np.ndarray:
     return w
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of bytes sorted by at least their first `depth` values, by two-stage sorting."""
+def _smaller(text: np.ndarray) -> np.ndarray:
+    """Which suffixes are smaller than their successors (the end is smaller than all)."""
     n = len(text)
-    if not n:
-        return np.zeros(0, np.int64)
-    t = text.astype(np.int64) + 1
-    # smaller[i]: suffix i is smaller than suffix i + 1 (the end is smaller than all)
-    different = np.append(t[:-1] != t[1:], True)
-    where = np.where(different, np.arange(n), n)
-    nearest = np.minimum.accumulate(where[::-1])[::-1]
-    smaller = np.zeros(n, bool)
+    place = np.arange(n, dtype=np.int32)
+    different = np.append(text[:-1] != text[1:], True)
+    nearest = np.minimum.accumulate(np.where(different, place, n)[::-1])[::-1]
+    out = np.zeros(n, bool)
     inner = nearest < n - 1
-    smaller[inner] = t[nearest[inner]] < t[nearest[inner] + 1]
-    direct = np.flatnonzero(smaller)
+    at = nearest[inner]
+    out[inner] = text[at] < text[at + 1]
+    return out
+
+
+def _sorted(w: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Places sorted by the bytes that begin there, eight at a time; a later eight only sorts those that agree so far."""
+    key = w[at]
+    order = np.argsort(key)
+    at, key = at[order], key[order]
+    new = key[1:] != key[:-1]
+    for i in range(1, words):
+        tied = np.append(False, ~new) | np.append(~new, False)
+        where = np.flatnonzero(tied)
+        if not len(where):
+            break
+        group = np.append(0, np.cumsum(new))[where]
+        key = w[at[where] + 8 * i]
+        order = np.argsort(key)
+        for low in (0, 16) if int(group[-1]) >> 16 else (0,):  # by group, stably
+            order = order[np.argsort((group[order] >> low).astype(np.uint16), kind="stable")]
+        at[where] = at[where[order]]
+        key = key[order]
+        same = (group[1:] == group[:-1]) & (key[1:] != key[:-1])
+        new[where[1:][same] - 1] = True
+    return at
+
+
+def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+    """The places that are wanted (a boolean per byte), their suffixes sorted by at least the first `depth` bytes, by two-stage sorting."""
+    n = len(text)
+    if not wanted.any():
+        return np.zeros(0, np.int64)
+    smaller = _smaller(text)
+    # larger suffixes need their successors, up to the next smaller one
+    place = np.arange(n, dtype=np.int32)
+    last_wanted = np.maximum.accumulate(np.where(wanted, place, -1))
+    last_smaller = np.append(-1, np.maximum.accumulate(np.where(smaller, place, -1))[:-1])
+    need = last_wanted > last_smaller
     words = -(-depth // 8)
-    w = _eights(text, words)
-    keys = [w[direct + 8 * i] for i in range(words)]
-    direct = direct[np.lexsort(keys[::-1])]
-    cuts = np.searchsorted(t[direct], np.arange(258))
-    induced: list[list[np.ndarray]] = [[] for _ in range(257)]
-    if not smaller[n - 1]:
-        induced[int(t[n - 1])].append(np.array([n - 1]))  # induced by the end
+    direct = _sorted(_eights(text, words), np.flatnonzero(need & smaller), words)
+    cuts = np.searchsorted(text[direct], np.arange(257))
+    larger = need & ~smaller
+    waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
+    if larger[n - 1]:
+        waiting[int(text[n - 1])].append(np.array([n - 1]))  # induced by the end
     out = []
 
-    def induce(at: np.ndarray, least: int) -> None:
-        """List the larger suffixes before these under later buckets."""
+    def induce(at: np.ndarray, c: int) -> np.ndarray:
+        """List the larger suffixes that come before these under later buckets; those of this bucket are returned."""
+        out.append(at)
         p = at[at > 0] - 1
-        p = p[~smaller[p]]
-        first = t[p]
-        beyond = p[first > least]
+        p = p[larger[p]]
+        first = text[p]
+        beyond = p[first > c]
         if len(beyond):
-            order = np.argsort(t[beyond], kind="stable")
-            beyond = beyond[order]
-            split = np.flatnonzero(np.diff(t[beyond])) + 1
-            for x in np.split(beyond, split):
-                induced[int(t[x[0]])].append(x)
-
-    for c in range(257):
-        waiting = induced[c]
-        if waiting:
-            same = np.concatenate(waiting)
-            got = []
+            byte = text[beyond]
+            order = np.argsort(byte, kind="stable")
+            beyond, byte = beyond[order], byte[order]
+            for x in np.split(beyond, np.flatnonzero(byte[1:] != byte[:-1]) + 1):
+                waiting[int(text[x[0]])].append(x)
+        return p[first == c]
+
+    for c in range(256):
+        if waiting[c]:
+            same = np.concatenate(waiting[c])
+            waiting[c] = []
             while len(same):  # runs of one byte induce within the bucket
-                got.append(same)
-                p = same[same > 0] - 1
-                p = p[~smaller[p]]
-                same = p[t[p] == c]
-            whole = np.concatenate(got)
-            out.append(whole)
-            induce(whole, c)
-        own = direct[cuts[c] : cuts[c + 1]]
-        if len(own):
-            out.append(own)
-            induce(own, c)
-    return np.concatenate(out)
-
-
-def common(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """For each neighbour in order, whether the common prefix with the one before reaches depth."""
+                same = induce(same, c)
+        if cuts[c + 1] > cuts[c]:
+            induce(direct[cuts[c] : cuts[c + 1]], c)
+    order = np.concatenate(out)
+    return order[wanted[order]]
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """How many bytes each suffix in order has in common with the one before it, `depth` at most (0 for the first)."""
     words = -(-depth // 8)
     w = _eights(text, words)
-    same = np.ones(max(0, len(order) - 1), bool)
-    for i in range(0, depth, 8):
-        take = np.uint64(64 - 8 * min(8, depth - i))
-        x = w[order + i] >> take
-        same &= x[1:] == x[:-1]
-    return np.append(False, same)[: len(order)]
-
-
-def smallest(contexts: list[bytes], keys: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """contexts: distinct bytes; keys: the smallest key that has each. For each context, the smallest key of each of its runs."""
-    sizes = np.array([len(c) for c in contexts], np.int64)
-    raw = np.frombuffer(b"".join(c + b"\0" for c in contexts), np.uint8)
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    of = np.repeat(np.arange(len(contexts)), sizes + 1)
-    place = np.arange(len(raw)) - starts[of]
-    run = place <= sizes[of] - length
-    order = suffix_array(raw, length)
-    order = order[run[order]]
-    label = np.cumsum(~common(raw, order, length)) - 1
-    best = np.full(int(label[-1]) + 1 if len(label) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(best, label, keys[of[order]])
-    found = np.zeros(len(raw), np.int64)
-    found[order] = best[label]
-    return [found[s : s + z - length + 1] for s, z in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    found = np.zeros(len(order), np.int64)
+    live = np.arange(1, len(order))
+    for i in range(words):
+        other = w[order[live] + 8 * i] ^ w[order[live - 1] + 8 * i]
+        same = other == 0
+        found[live[same]] += 8
+        found[live[~same]] += 8 - np.searchsorted(_BYTES, other[~same], "right")
+        live = live[same]
+    return np.minimum(found, depth)
+
+
+def classes(text: np.ndarray, wanted: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """keys: one per wanted place, in order. For every wanted place, in order, the class of the run that begins there, and each class's smallest key."""
+    order = suffix_order(text, wanted, length)
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = common_prefixes(text, order, length) < length
+    rank = np.cumsum(wanted) - 1
+    at = rank[order]
+    label = np.empty(len(order), np.int64)
+    label[at] = np.cumsum(new) - 1
+    return label, np.minimum.reduceat(keys[at], np.flatnonzero(new))
+
+
+def _bits(flags: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The flags of each context's runs as the bits of one number."""
+    ends = np.cumsum(count)
+    shift = np.arange(len(flags)) - np.repeat(ends - count, count)
+    return np.add.reduceat(flags.astype(np.uint32) << shift.astype(np.uint32), ends - count, dtype=np.uint32) if len(count) else np.zeros(0, np.uint32)
 
 
 def _joined(keys: list, texts: pa.Array) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -222,188 +261,174 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
 
-def spans(docs: DataFrame, output, schema: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, others: tuple[str, ...] = ()) -> DataFrame:
-    """Find the removed bytes of every document and make rows of them.
-
-    output(row, raw, gone): row is a dict of the document's columns without the text, raw its
-    bytes, gone a boolean per byte; it returns a tuple for `schema`. others: more columns of
-    docs that row has.
+def _repeats(raw: np.ndarray, start: np.ndarray, count: np.ndarray, h: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's contexts: which have runs with a smaller key in the batch (bits), and an identity (two numbers) that equal contexts share."""
+    n = len(start)
+    order = np.lexsort((owner, h))
+    new = np.append(True, h[order][1:] != h[order][:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], n) - 1
+    several = np.zeros(n, bool)
+    several[order] = (last > first)[np.cumsum(new) - 1]
+    bits, begin, end = np.zeros(n, np.uint32), -1 - np.arange(n), np.zeros(n, np.int64)
+    x = np.flatnonzero(several)
+    if len(x):
+        x = x[np.argsort(start[x])]
+        at = gather(start[x], count[x])
+        wanted = np.zeros(len(raw), bool)
+        wanted[at] = True
+        label, least = classes(raw, wanted, np.repeat(owner[x], count[x]), length)
+        bits[x] = _bits(least[label] < np.repeat(owner[x], count[x]), count[x])
+        ends = np.cumsum(count[x])
+        begin[x], end[x] = label[ends - count[x]], label[ends - 1]
+    return bits, begin, end
+
+
+def _least_of_contexts(raw: np.ndarray, count: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
+    """raw: contexts laid end to end, each of count + length - 1 bytes. Which of their runs have a smaller key in another context (bits)."""
+    size = count + length - 1
+    ends = np.cumsum(size + 1)
+    starts = ends - size - 1
+    text = np.zeros(int(ends[-1]), np.uint8)
+    text[gather(starts, size)] = raw
+    at = gather(starts, count)
+    wanted = np.zeros(len(text), bool)
+    wanted[at] = True
+    own = np.repeat(keys, count)
+    label, least = classes(text, wanted, own, length)
+    return _bits(least[label] < own, count)
+
+
+def spans(docs: DataFrame, make, fields: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, others: list[str] | None = None) -> DataFrame:
+    """Find the removed bytes of every document and make columns of them.
+
+    make(raw, gone, sizes): the bytes of some documents laid end to end, a boolean per byte and
+    the documents' sizes; it returns an array per field of `fields`. Returns key, row (the
+    columns of others, packed) and those fields.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     n_batches = total // BATCH_BYTES + 1
     buckets = max(partitions(spark), total // (4 * BATCH_BYTES) + 1)
-    dealt = docs.select(F.pmod(F.xxhash64(key), F.lit(n_batches)).alias("_batch"), F.col(key).alias("_key"), F.col(text).alias("_text"), *others)
-    lists = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary())])
+    # by the text too, so that rows that repeat a key are not one batch
+    dealt = docs.select(F.pmod(F.xxhash64(key, text), F.lit(n_batches)).alias("batch"), F.col(key).alias("key"), F.col(text).alias("text"), packed(others or []).alias("row"))
+    bare = dealt.drop("row")
+    lists = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary())])
 
     def listed(group: pa.Table) -> pa.Table:
-        batch = group.column("_batch")[0].as_py()
-        _, keys, raw, sizes = _joined(group.column("_key").to_pylist(), _flat(group.column("_text")))
-        start, _, h = _segments(raw, sizes, length, k)
-        owner = keys[np.searchsorted(np.cumsum(sizes), start, "right")]
-        order = np.lexsort((owner, h))
-        h, owner = h[order], owner[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
-        last = np.append(first[1:], len(h)) - 1
-        twice = owner[last] > owner[first]
-        h = h[first]
-        return _table([(b, batch, h[x].tobytes(), np.packbits(twice[x]).tobytes()) for b, x in _by_bucket(h, buckets)], lists)
+        batch = group.column("batch")[0].as_py()
+        _, _, raw, sizes = _joined(group.column("key").to_pylist(), _flat(group.column("text")))
+        h = np.unique(_segments(raw, sizes, length, k)[2])
+        return _table([(b, batch, h[x].tobytes()) for b, x in _by_bucket(h, buckets)], lists)
 
     answers = pa.schema([("batch", pa.int64()), ("hashes", pa.binary())])
 
     def shared(group: pa.Table) -> pa.Table:
         held = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
-        marks = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(group.column("twice").to_pylist(), held, strict=True)]
         every = np.concatenate(held)
-        from_ = np.repeat(np.arange(len(held)), [len(h) for h in held])
-        mark = np.concatenate(marks)
+        of = np.repeat(np.arange(len(held)), [len(h) for h in held])
         order = np.argsort(every, kind="stable")
-        s = every[order]
-        same = s[1:] == s[:-1]
-        both = np.append(False, same) | np.append(same, False)
+        same = every[order][1:] == every[order][:-1]
         hit = np.zeros(len(every), bool)
-        hit[order] = both
-        hit |= mark
+        hit[order] = np.append(False, same) | np.append(same, False)
         ids = group.column("batch").to_pylist()
         at = np.flatnonzero(hit)
-        cuts = np.flatnonzero(np.diff(from_[at])) + 1
-        return _table([(ids[from_[x[0]]], every[x].tobytes()) for x in np.split(at, cuts) if len(x)], answers)
-
-    first = dealt.groupBy("_batch").applyInArrow(listed, "bucket long, batch long, hashes binary, twice binary")
-    found = save(first.groupBy("bucket").applyInArrow(shared, "batch long, hashes binary"))
-    del first  # its shuffle files go only when nothing refers to it
+        cuts = np.flatnonzero(np.diff(of[at])) + 1
+        return _table([(ids[of[x[0]]], every[x].tobytes()) for x in np.split(at, cuts) if len(x)], answers)
 
-    sent = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+    found = save(bare.groupBy("batch").applyInArrow(listed, "bucket long, batch long, hashes binary").groupBy("bucket").applyInArrow(shared, "batch long, hashes binary"))
+    shape = "kind int, bucket long, batch long, a binary, b binary, c binary, d binary"
+    sent = to_arrow_schema(StructType.fromDDL(shape))
 
     def contexts(docs_: pa.Table, hits: pa.Table) -> pa.Table:
-        if not docs_.num_rows or not hits.num_rows:
+        if not docs_.num_rows:
             return sent.empty_table()
-        batch = docs_.column("_batch")[0].as_py()
-        _, keys, raw, sizes = _joined(docs_.column("_key").to_pylist(), _flat(docs_.column("_text")))
+        batch = docs_.column("batch")[0].as_py()
+        _, keys, raw, sizes = _joined(docs_.column("key").to_pylist(), _flat(docs_.column("text")))
         start, count, h = _segments(raw, sizes, length, k)
-        wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in hits.column("hashes").to_pylist()]))
-        i = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-        keep = wanted[i] == h
-        start, count, h = start[keep], count[keep], h[keep]
+        if not len(start):
+            return sent.empty_table()
         owner = keys[np.searchsorted(np.cumsum(sizes), start, "right")]
-        data = raw.tobytes()
-        index: dict[bytes, int] = {}
-        entry = np.fromiter((index.setdefault(data[s:z], len(index)) for s, z in zip(start.tolist(), (start + count - 1 + length).tolist(), strict=True)), np.int64, len(start))
-        n = len(index)
-        least = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(least, entry, owner)
-        hash_ = np.zeros(n, np.uint64)
-        hash_[entry] = h
-        runs = np.zeros(n, np.uint8)
-        runs[entry] = count
-        held = list(index)
-        place = np.zeros(n, np.int64)  # of an entry among those sent
-        rows, sent_before = [], 0
-        for b, x in _by_bucket(hash_, buckets):
-            place[x] = sent_before + np.arange(len(x))
-            sent_before += len(x)
-            rows.append((0, b, batch, b"".join([held[i] for i in x.tolist()]), runs[x].tobytes(), (hash_[x] >> np.uint64(32)).astype(np.uint32).tobytes(), least[x].tobytes()))
-        order = [b for _, b, *_ in rows]
-        mine = owner == least[entry]
-        rows.append((1, -1, batch, start.astype(np.int32).tobytes(), count.astype(np.uint8).tobytes(), place[entry].astype(np.int32).tobytes(), np.packbits(mine).tobytes()))
-        sizes_ = [len(r[4]) for r in rows[:-1]]
-        rows.append((2, -1, batch, np.array(order, np.int64).tobytes(), np.array(sizes_, np.int64).tobytes(), b"", b""))
+        bits, begin, end = _repeats(raw, start, count, h, owner, length)
+        wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in hits.column("hashes").to_pylist())]))
+        cross = np.zeros(len(h), bool)
+        if len(wanted):
+            i = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+            cross = wanted[i] == h
+        x = np.flatnonzero(cross)
+        _, rep, entry = np.unique(np.stack([begin[x], end[x] * 64 + count[x]]), axis=1, return_index=True, return_inverse=True) if len(x) else (x, x, x)
+        entry = entry.reshape(-1)
+        rep = x[rep]
+        least = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(least, entry, owner[x])
+        place = np.zeros(len(rep), np.int64)  # of an entry among those sent
+        rows, before = [], 0
+        for b, e in _by_bucket(h[rep], buckets):
+            place[e] = before + np.arange(len(e))
+            before += len(e)
+            r = rep[e]
+            rows.append((0, b, batch, raw[gather(start[r], count[r] + length - 1)].tobytes(), count[r].astype(np.uint8).tobytes(), (h[r] >> np.uint64(32)).astype(np.uint32).tobytes(), least[e].tobytes()))
+        order = np.array([b for _, b, *_ in rows], np.int64)
+        to = np.full(len(start), -1)
+        to[x] = place[entry]
+        keep = cross | (bits > 0)
+        rows.append((1, -1, batch, start[keep].tobytes(), count[keep].astype(np.uint8).tobytes(), to[keep].tobytes(), bits[keep].tobytes()))
+        rows.append((2, -1, batch, order.tobytes(), b"", b"", b""))
         return _table(rows, sent)
 
-    masks = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-
     def compared(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        index: dict[bytes, int] = {}
-        entry, keys, part = [], [], []
-        for data, runs, h, least in zip(*(group.column(c).to_pylist() for c in "abcd"), strict=True):
-            z = np.frombuffer(runs, np.uint8).astype(np.int64) + length - 1
-            e = np.cumsum(z)
-            entry.append(np.fromiter((index.setdefault(data[s:t], len(index)) for s, t in zip((e - z).tolist(), e.tolist(), strict=True)), np.int64, len(z)))
-            keys.append(np.frombuffer(least, np.int64))
-            part.append(np.frombuffer(h, np.uint32))
-        each, key_ = np.concatenate(entry), np.concatenate(keys)
-        n = len(index)
-        best = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(best, each, key_)
-        anchor = np.zeros(n, np.uint32)
-        anchor[each] = np.concatenate(part)
-        held = list(index)
+        data, runs, h, least = ([x for x in group.column(c).to_pylist()] for c in "abcd")
+        count = np.concatenate([np.frombuffer(x, np.uint8) for x in runs]).astype(np.int64)
+        anchor = np.concatenate([np.frombuffer(x, np.uint32) for x in h])
+        keys = np.concatenate([np.frombuffer(x, np.int64) for x in least])
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        size = count + length - 1
+        begin = np.cumsum(size) - size
         order = np.argsort(anchor, kind="stable")
-        cuts = np.flatnonzero(np.diff(anchor[order])) + 1
-        result: dict[int, np.ndarray] = {}
-        waiting: list[int] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal waiting, size
-            if waiting:
-                for i, x in zip(waiting, smallest([held[i] for i in waiting], best[waiting], length), strict=True):
-                    result[i] = x
-            waiting, size = [], 0
-
-        for x in np.split(order, cuts):
-            if len(x) > 1:
-                waiting += x.tolist()
-                size += sum(len(held[i]) for i in x.tolist())
-                if size > SORT_BYTES:
-                    flush()
-        flush()
-        out = []
-        for batch, e, own in zip(group.column("batch").to_pylist(), entry, keys, strict=True):
-            bits = np.where(best[e] < own, np.uint32(2**32 - 1), np.uint32(0))
-            for at, (i, o) in enumerate(zip(e.tolist(), own.tolist(), strict=True)):
-                if i in result:
-                    m = result[i] < o
-                    bits[at] = int(np.dot(m, 1 << np.arange(len(m), dtype=np.int64)))
-            out.append((3, bucket, batch, bits.tobytes(), b"", b"", b""))
-        return _table(out, masks)
-
-    shape = "kind int, bucket long, batch long, a binary, b binary, c binary, d binary"
-    by_batch = dealt.groupBy("_batch").cogroup(found.withColumnRenamed("batch", "_batch").groupBy("_batch"))
+        new = np.append(True, anchor[order][1:] != anchor[order][:-1])
+        # parts of about SORT_BYTES that begin with an anchor's first context
+        upto = np.cumsum(size[order]) - size[order]
+        part = upto // SORT_BYTES
+        part = np.maximum.accumulate(np.where(new, part, 0))
+        bits = np.zeros(len(count), np.uint32)
+        for x in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+            bits[x] = _least_of_contexts(raw[gather(begin[x], size[x])], count[x], keys[x], length)
+        ends = np.cumsum([len(x) for x in runs])
+        batches = group.column("batch").to_pylist()
+        return _table([(3, bucket, b, bits[z - len(x) : z].tobytes(), b"", b"", b"") for b, x, z in zip(batches, runs, ends.tolist(), strict=True)], sent)
+
+    by_batch = bare.groupBy("batch").cogroup(found.groupBy("batch"))
     second = save(by_batch.applyInArrow(contexts, shape))
-    del by_batch
     drop(found)
     third = save(second.filter("kind = 0").groupBy("bucket").applyInArrow(compared, shape))
-    back = second.filter("kind > 0").unionByName(third).withColumnRenamed("batch", "_batch")
-
-    from pyspark.sql.types import StructType
-
-    fields = StructType.fromDDL(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(fields)
+    back = second.filter("kind > 0").unionByName(third)
+    out = StructType([*dealt.select("key", "row").schema.fields, *StructType.fromDDL(fields).fields])
+    arrow = to_arrow_schema(out)
 
     def removed(docs_: pa.Table, notes: pa.Table) -> pa.Table:
         if not docs_.num_rows:
             return arrow.empty_table()
-        rows, keys, raw, sizes = _joined(docs_.column("_key").to_pylist(), _flat(docs_.column("_text")))
+        rows, _, raw, sizes = _joined(docs_.column("key").to_pylist(), _flat(docs_.column("text")))
         gone = np.zeros(len(raw) + 1, np.int32)
         kinds = notes.column("kind").to_pylist()
         if 1 in kinds:
-            get = lambda i: [notes.column(c)[i].as_py() for c in "abcd"]
-            a, b, c, d = get(kinds.index(1))
-            start, count, place = np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64), np.frombuffer(c, np.int32)
-            mine = np.unpackbits(np.frombuffer(d, np.uint8), count=len(start)).astype(bool)
-            a, b, _, _ = get(kinds.index(2))
+            a, b, c, d = (notes.column(x)[kinds.index(1)].as_py() for x in "abcd")
+            start, count, place, bits = np.frombuffer(a, np.int64), np.frombuffer(b, np.uint8).astype(np.int64), np.frombuffer(c, np.int64), np.frombuffer(d, np.uint32).copy()
             got = {notes.column("bucket")[i].as_py(): notes.column("a")[i].as_py() for i, x in enumerate(kinds) if x == 3}
-            bits = np.concatenate([np.frombuffer(got[x], np.uint32) for x in np.frombuffer(a, np.int64).tolist()])[place]
-            bits = np.where(mine, bits, np.uint32(2**32 - 1))
-            at = gather(start, count)
-            shift = gather(np.zeros(len(count), np.int64), count)
-            at = at[(np.repeat(bits, count) >> shift.astype(np.uint32) & np.uint32(1)).astype(bool)]
+            order = np.frombuffer(notes.column("a")[kinds.index(2)].as_py(), np.int64)
+            answer = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(got[x], np.uint32) for x in order.tolist())])
+            x = place >= 0
+            bits[x] |= answer[place[x]]
+            shift = gather(np.zeros(len(count), np.int64), count).astype(np.uint32)
+            at = gather(start, count)[(np.repeat(bits, count) >> shift & np.uint32(1)).astype(bool)]
             np.add.at(gone, at, 1)
             np.add.at(gone, at + length, -1)
         lost = np.cumsum(gone)[:-1] > 0
-        ends = np.cumsum(sizes)
-        cols = {c: docs_.column(c).to_pylist() for c in others}
-        out = []
-        for i, (z, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
-            r = rows[i]
-            out.append(output({key: docs_.column("_key")[r].as_py(), **{c: v[r] for c, v in cols.items()}}, raw[z - n : z], lost[z - n : z]))
-        return _table(out, arrow)
+        held = docs_.select(["key", "row"]).take(pa.array(rows, pa.int64()))
+        return pa.Table.from_arrays([*held.columns, *make(raw, lost, sizes)], names=arrow.names).cast(arrow)
 
-    return dealt.groupBy("_batch").cogroup(back.groupBy("_batch")).applyInArrow(removed, fields)
+    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(removed, out)
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
@@ -414,23 +439,28 @@ def _runs(gone: np.ndarray) -> int:
     return int((gone & ~np.append(False, gone[:-1])[: len(gone)]).sum())
 
 
+def _each(raw: np.ndarray, gone: np.ndarray, sizes: np.ndarray):
+    for z, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+        yield raw[z - n : z], gone[z - n : z]
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256."""
 
-    def output(row: dict, raw: np.ndarray, gone: np.ndarray) -> tuple:
-        return row[key], len(raw), int(gone.sum()), _runs(gone), hashlib.sha256(raw[~gone].tobytes()).hexdigest()
+    def make(raw: np.ndarray, gone: np.ndarray, sizes: np.ndarray) -> list:
+        each = [(len(x), int(g.sum()), _runs(g), hashlib.sha256(x[~g].tobytes()).hexdigest()) for x, g in _each(raw, gone, sizes)]
+        return [pa.array(c) for c in zip(*each, strict=True)]
 
-    return spans(docs, output, f"{key} {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", key, text, length)
+    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return spans(docs, make, fields, key, text, length).drop("row").withColumnRenamed("key", key)
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """The documents with the repeated bytes cut out of their text; characters cut in part go whole. A null text becomes the empty one."""
-    others = tuple(c for c in docs.columns if c not in (key, text))
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    others = [c for c in docs.columns if c not in (key, text)]
 
-    def output(row: dict, raw: np.ndarray, gone: np.ndarray) -> tuple:
-        new = raw[~gone].tobytes().decode("utf-8", "ignore")
-        return tuple(new if c == text else row[c] for c in columns)
+    def make(raw: np.ndarray, gone: np.ndarray, sizes: np.ndarray) -> list:
+        return [pa.array([x[~g].tobytes().decode("utf-8", "ignore") for x, g in _each(raw, gone, sizes)], pa.string())]
 
-    columns = docs.columns
-    return spans(docs, output, ", ".join(f"`{c}` {types[c]}" for c in columns), key, text, length, others=others)
+    out = spans(docs, make, "cut string", key, text, length, others=others)
+    return out.select(F.col("key").alias(key), F.col("cut").alias(text), *unpacked("row", others)).select(*[F.col(f"`{c}`") for c in docs.columns])
