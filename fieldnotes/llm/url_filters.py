@@ -1,7 +1,8 @@
 """URL filters by association rules, in DataFrame functions and Spark's FP-growth only.
 
-Labelled urls become transactions of tokens plus a label item. FP-growth mines the frequent
-item sets; rules `tokens -> label:block` stay if their support, confidence and lift pass, and
+Labelled urls become transactions of tokens plus a label item. Tokens that are too rare for a
+rule go first, and of tokens that occur in just the same urls one stays. FP-growth mines the
+frequent item sets; rules `tokens -> label:block` stay if their support, confidence and lift pass, and
 if no part of their tokens has a rule as confident. Rules are matched by an inverted index:
 each is listed under its rarest token, so a url meets only rules whose rarest token it has.
 
@@ -9,11 +10,14 @@ Hand-written host/path rules come first: the longest fitting one wins over the m
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is
 judged by its (empty) tokens, so it is allowed; without labelled urls no rules are mined and
-every verdict of the method is allow; repeated rows are judged each.
+every verdict of the method is allow, and so with fewer than min_rows; repeated rows and rows
+without a key are judged each; columns of pages named like an added one are replaced; rules of
+more than max_tokens tokens are not used.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -29,6 +33,8 @@ BLOCK = "label:block"
 @dataclass(frozen=True)
 class Mining:
     min_support: float = 0.002
+    #: Labelled urls that a rule rests on at least, whatever their share.
+    min_rows: int = 20
     min_confidence: float = 0.6
     min_lift: float = 1.5
     #: Tokens in a rule's left side.
@@ -56,14 +62,31 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(one("s:", scheme), parts("h:", host, "[.]"), one("d:", domain), parts("p:", path, "[/.]"), names))
 
 
+def _without_twins(rows: DataFrame, least: int) -> DataFrame:
+    """rows (id, tokens, blocked) with frequent tokens only, and one of those that occur in just the same rows.
+
+    Such tokens are interchangeable in every rule, but n of them would make 2^n item sets.
+    """
+    each = rows.select("id", F.explode("tokens").alias("token"))
+    where = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter(F.col("n") >= least)
+    chosen = where.groupBy("n", "x", "y").agg(F.min("token").alias("token"))
+    few = each.join(chosen.select("token"), "token").groupBy("id").agg(F.collect_list("token").alias("tokens"))
+    none = F.expr("cast(array() as array<string>)")
+    return rows.select("id", "blocked").join(few, "id", "left").select("blocked", F.coalesce("tokens", none).alias("tokens"))
+
+
 def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     """labelled: tokens array<string>, blocked boolean. Rules: rule_tokens, confidence, support, key (the rarest token)."""
-    rows = labelled.filter("tokens is not null and blocked is not null and size(tokens) > 0").select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
-    rows = save(rows)
+    rows = save(labelled.filter("tokens is not null and blocked is not null and size(tokens) > 0").select("tokens", "blocked").withColumn("id", F.monotonically_increasing_id()))
     schema = "rule_tokens array<string>, confidence double, support double, key string"
-    if rows.isEmpty():
+    total = rows.count()
+    if not total:
+        return rows.sparkSession.createDataFrame([], schema)
+    support = max(how.min_support, how.min_rows / total)
+    if support > 1:
         return rows.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=how.min_support, minConfidence=how.min_confidence).fit(rows)
+    rows = save(_without_twins(rows, math.ceil(support * total)).select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=how.min_confidence).fit(rows)
     rules = model.associationRules.filter((F.get("consequent", F.lit(0)) == BLOCK) & (F.size("antecedent") <= how.max_tokens) & (F.col("lift") >= how.min_lift))
     rules = save(rules.select(F.sort_array("antecedent").alias("rule_tokens"), "confidence", "support"))
     seen = save(model.freqItemsets.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq"))
