@@ -7,7 +7,9 @@ occur are applied in ascending order, and each merge updates the lists of the ne
 pairs. Each text's ids are gathered from its pieces.
 
 Defined cases: null counts as the empty text (no ids); texts of any length are taken whole;
-strings of the tokenizer's added tokens inside texts become those tokens, as in the library.
+strings of the tokenizer's added tokens inside texts become those tokens, as in the library;
+repeated rows and rows without a key are encoded each; in `encode` a column named ids is
+replaced, `digests` reads no column but key and text; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ spaces with the characters behind it (a pre-token) is encoded on its own. The pr
 batch are coded by a dictionary; its entries are counted once, and a worker remembers counts
 between batches. The join is by dictionary code, so nothing is shuffled.
 
-Defined cases: null counts as the empty text (no tokens); texts of any length are taken whole.
+Defined cases: null counts as the empty text (no tokens); texts of any length are taken whole;
+repeated rows and rows without a key are counted each; columns other than key and text are not
+read, so none can clash; an empty table gives an empty one.
 """
 
 from __future__ import annotations

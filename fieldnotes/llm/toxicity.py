@@ -5,11 +5,15 @@ BUCKETS rows), a text's is the mean over its words; a linear layer and softmax f
 and layer are trained jointly in numpy by Adam with balanced classes. Misspelt words share
 n-grams with those seen. The model has a fixed size, whatever the input.
 
-Training uses at most TRAIN_ROWS labelled rows, those with the smallest hashes of their id,
-so that the driver's memory is bounded; everything else runs over all rows.
+Training uses at most TRAIN_ROWS labelled rows, those with the smallest hashes of their id.
+Executors reduce their texts to distinct words and counts, which are all that the driver
+gathers; everything else runs over all rows.
 
 Defined cases: null and empty texts have the zero vector and so the layer's bias as score;
-without labels of both classes every score is the share of label 1 (0 without labels).
+without labels of both classes every score is the share of label 1 (0 without labels); repeated
+rows and rows without a key are scored each, the latter as not held out; rows that repeat a
+labelled key are learnt from each, up to the bound; columns other than key and text are not
+read, so none can clash; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -113,14 +117,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def counted(texts: pa.Array) -> tuple[list[list[str]], list[list[int]]]:
+    """Each text's distinct words and how often it has them."""
+    names, code, ends = bags(texts)
+    out, many = [], []
+    for a, z in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        c, n = np.unique(code[a:z], return_counts=True)
+        out.append([names[i] for i in c.tolist()])
+        many.append(n.tolist())
+    return out, many
+
+
+def fit(words: list[list[str]], counts: list[list[int]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Learn from each text's distinct words and their counts."""
     labels = np.asarray(labels, np.int64)
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(None, None, np.array([float(labels.mean()) if len(labels) else 0.0]))
-    names, code, ends = bags(pa.array(texts, pa.large_string()))
+    index: dict[str, int] = {}
+    code = np.array([index.setdefault(w, len(index)) for x in words for w in x], np.int64)
+    share = np.concatenate([np.zeros(0), *(np.asarray(n) / max(1, sum(n)) for n in counts)]).astype(np.float64)
+    sizes = np.array([len(x) for x in words], np.int64)
+    ends = np.cumsum(sizes)
+    names = list(index)
     rows, per = subwords(names)
     first = np.cumsum(per) - per
-    sizes = np.diff(ends, prepend=0)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer = rng.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32)
@@ -134,20 +154,21 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed:
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), MINIBATCH):
             d = order[lo : lo + MINIBATCH]
-            words = code[gather(ends[d] - sizes[d], sizes[d])]
+            at = gather(ends[d] - sizes[d], sizes[d])
+            part = share[at]
             of = np.repeat(np.arange(len(d)), sizes[d])
-            used, to = np.unique(words, return_inverse=True)
+            used, to = np.unique(code[at], return_inverse=True)
             sub, n = rows[gather(first[used], per[used])], per[used]
             word = _mean(vectors[sub], n)
-            text = np.stack([np.bincount(of, word[to, j], len(d)) for j in range(DIMENSIONS)], 1) / np.maximum(sizes[d], 1)[:, None]
+            text = np.stack([np.bincount(of, word[to, j] * part, len(d)) for j in range(DIMENSIONS)], 1)
             z = text @ layer + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             y = labels[d]
             p[np.arange(len(d)), y] -= 1
             g = p * weight[y][:, None] / len(d)
-            to_text = (g @ layer.T) / np.maximum(sizes[d], 1)[:, None]
-            to_word = np.stack([np.bincount(to, to_text[of, j], len(used)) for j in range(DIMENSIONS)], 1) / n[:, None]
+            to_text = g @ layer.T
+            to_word = np.stack([np.bincount(to, to_text[of, j] * part, len(used)) for j in range(DIMENSIONS)], 1) / n[:, None]
             spread = np.repeat(np.arange(len(used)), n)
             to_vectors = np.stack([np.bincount(sub, to_word[spread, j], BUCKETS) for j in range(DIMENSIONS)], 1)
             turn += 1
@@ -162,9 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     """Learn from labelled rows that aren't held out; at most `most` of them."""
     own = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(key))).select(key, F.col(label).alias("_label"))
     few = own.orderBy(F.xxhash64(key), key, "_label").limit(most)
-    rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(few), key).toPandas()  # at most `most` rows (times repeats of an id)
-    rows = rows.sort_values([key, "_label", "_text"], kind="stable")
-    return fit([t if isinstance(t, str) else None for t in rows["_text"]], rows["_label"].to_numpy())
+    rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(few), key).select(F.col(key).alias("key"), F.col("_label").cast("long").alias("label"), F.col("_text").alias("text"))
+
+    def run(it):
+        for b in it:
+            for s, z in batches(b.column(2), 8_000_000):
+                part = b.slice(s, z - s)
+                words, counts = counted(part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["key", "label", "words", "counts"])
+
+    kind = dict(docs.dtypes)[key]
+    found = rows.mapInArrow(releasing(run), f"key {kind}, label long, words array<string>, counts array<int>")
+    got = found.orderBy("key", "label", F.xxhash64("words", "counts")).limit(most).toArrow()  # `most` rows of distinct words
+    return fit(got["words"].to_pylist(), got["counts"].to_pylist(), got["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
