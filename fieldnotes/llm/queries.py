@@ -136,5 +136,52 @@ from r join verdict on r.source is not distinct from verdict.source
 """
 
 
+#: Links by shared shingles of all pairs, and the smallest id that links reach.
+OP2_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' '))
+                                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d
+), n as (
+  select doc_id, count(*)::bigint as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all
+), l as (
+  select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)
+), both_ways as (
+  select a, b from l union all select b, a from l
+), reach(a, b) as (
+  select doc_id, doc_id from d union select r.a, e.b from reach r join both_ways e on r.b = e.a
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, m.component_id = d.doc_id as kept
+from d join (select a, min(b) as component_id from reach group by a) m on m.a = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
+#: Every 50-byte string with the smallest id that has it, as hexadecimal digits.
+OP5_SQL = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), s as (
+  select doc_id, unnest(generate_series(0, length(h) // 2 - 50)) as i, h from d where length(h) >= 100
+), w as (
+  select doc_id, i, substr(h, 2 * i + 1, 100) as g from s
+), first as (
+  select g, min(doc_id) as least from w group by g
+), hit as (
+  select w.doc_id, i, lag(i) over (partition by w.doc_id order by i) as before, lead(i) over (partition by w.doc_id order by i) as after
+  from w join first using (g) where least < w.doc_id
+), r as (
+  select hit.doc_id, sum(least(50, coalesce(after - i, 50)))::bigint as n_removed,
+         count_if(before is null or i > before + 50)::bigint as n_spans,
+         string_agg(case when before is null then substr(h, 1, 2 * i) when i > before + 50 then substr(h, 2 * (before + 50) + 1, 2 * (i - before - 50)) else '' end, '' order by i)
+           || substr(any_value(h), 2 * (max(i) + 50) + 1) as kept
+  from hit join d using (doc_id) group by hit.doc_id
+)
+select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join r using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_suffix_dedup": OP5_SQL}
