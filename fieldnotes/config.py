@@ -28,13 +28,20 @@ STOPWORDS = (
     "until up us very was we well were what when where which while who whom why will with would yeah yes you your"
 ).split()
 
-#: Words that a cell of a table uses for "nothing here".
-EMPTY_WORDS = ("", "none", "null", "nan", "n/a", "na", "unknown", "not stated", "not mentioned", "[]")
+#: Words that a cell of a table uses for "nothing here".
+EMPTY_WORDS = ("", "none", "n/a", "na", "unknown", "not stated", "not mentioned", "unclear", "null", "no")
 
 #: What people say when they state a wish instead of showing a problem.
 WANT_PATTERNS = (r"\bi wish\b", r"\bwould be (?:nice|great|good)\b", r"\bit'?d be (?:nice|great)\b", r"\bi(?:'d| would) (?:love|like|want)\b", r"\bwe(?:'d| would) (?:love|like|want)\b", r"\bif (?:only|there was|there were)\b", r"\bin an ideal world\b", r"\bwish list\b")
 
-#: Category -> terms (phrases in plain words).
+@dataclass(frozen=True)
+class Pattern:
+    """A lexicon entry that is a regular expression (matched in any case) instead of plain words."""
+
+    regex: str
+
+
+#: Category -> entries: phrases in plain words, or patterns.
 LEXICON = {
     "time": ("time", "late", "wait", "hours", "minutes"),
     "paperwork": ("form", "forms", "paper", "document", "documents"),
@@ -69,7 +76,7 @@ class Config:
     stopwords: tuple[str, ...] = tuple(STOPWORDS)
     empty_words: tuple[str, ...] = EMPTY_WORDS
     want_patterns: tuple[str, ...] = WANT_PATTERNS
-    lexicon: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(LEXICON))
+    lexicon: dict[str, tuple[str | Pattern, ...]] = field(default_factory=lambda: dict(LEXICON))
     flag_rules: tuple[FlagRule, ...] = FLAG_RULES
     #: Speakers that match are interviewers, whatever the metadata say.
     interviewer_pattern: str | None = None

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +49,8 @@ def opportunity_score(prevalence, clean, strong, pain, evidence, urgency, commer
 
 
 def widespread(k: Column, n: Column) -> Column:
-    return F.when(k <= 1, "1 customer").when(k >= F.greatest(F.lit(2), F.ceil(_d(n) * 0.6)), "most customers").otherwise("several customers")
+    """The three answers to how many of n customers k are."""
+    return F.when(k <= 1, "1 customer").when((n > 0) & (k >= F.greatest(F.lit(2), F.ceil(_d(n) * 0.6))), "most").otherwise("several")
 
 
 def association(n11: Column, n10: Column, n01: Column, n00: Column) -> dict[str, Column]:
@@ -73,36 +72,48 @@ def needed_sample(p: Column, margin: float, z: float = Z) -> Column:
     return F.ceil(z * z * p * (1 - p) / (margin * margin)).cast("long")
 
 
-def log_factorials(n: int) -> Column:
-    """An array literal of ln(0!) to ln(n!)."""
-    return F.array(*[F.lit(math.lgamma(i + 1)) for i in range(n + 1)])
-
-
-def fisher_two_sided(n11: Column, n10: Column, n01: Column, n00: Column, log_factorial) -> Column:
+def fisher_two_sided(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
     """Fisher's exact test: the probability of all tables with these margins that are no likelier than this one (ties within 1e-7).
 
-    log_factorial: Column to Column, the logarithm of a factorial.
+    Neighbouring tables' probabilities have a simple ratio. So the sums walk up and down from
+    the table itself, whose probability is their unit, and no factorial is needed.
     """
     r1, c1, n = n11 + n10, n11 + n01, n11 + n10 + n01 + n00
-    lf = log_factorial
-    fixed = lf(r1) + lf(n - r1) + lf(c1) + lf(n - c1) - lf(n)
-    p = lambda x: F.exp(fixed - lf(x) - lf(r1 - x) - lf(c1 - x) - lf(n - r1 - c1 + x))
     low, high = F.greatest(F.lit(0).cast("long"), r1 + c1 - n), F.least(r1, c1)
-    mine = p(n11)
-    total = F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, x: s + F.when(p(x) <= mine * (1 + 1e-7), p(x)).otherwise(0.0))
-    return F.least(F.lit(1.0), total)
+    up = lambda x: (r1 - x).cast("double") * (c1 - x) / ((x + 1).cast("double") * (n - r1 - c1 + x + 1))
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("less"), F.lit(0.0).alias("all"))
+
+    def step(acc: Column, ratio: Column) -> Column:
+        p = acc["p"] * ratio
+        return F.struct(p.alias("p"), (acc["less"] + F.when(p <= 1 + 1e-7, p).otherwise(0.0)).alias("less"), (acc["all"] + p).alias("all"))
+
+    none = F.expr("cast(array() as array<bigint>)")
+    above = F.aggregate(F.when(high > n11, F.sequence(n11, high - 1)).otherwise(none), start, lambda acc, x: step(acc, up(x)))
+    below = F.aggregate(F.when(low < n11, F.sequence(n11 - 1, low, F.lit(-1).cast("long"))).otherwise(none), start, lambda acc, x: step(acc, 1 / up(x)))
+    whole = 1 + above["all"] + below["all"]
+    return F.least(F.lit(1.0), (1 + above["less"] + below["less"]) / whole)
 
 
 def false_discovery(df: DataFrame, p: str, out: str) -> DataFrame:
     """Benjamini-Hochberg q-values of one family of tests, the table; a null p has a null q.
 
-    A row's rank needs all smaller p-values. They are counted by distinct p, so the one ordered
-    pass runs over distinct values of tests, not over data.
+    A row's rank needs all smaller p-values, its q the least of those at larger ones. Distinct
+    values are dealt into ranges (4096 equal ones, below them one per power of two); ranks and
+    least values are found within each range and carried over the ranges, whose number is fixed.
     """
-    counts = df.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = counts.select(F.col(p).alias("_p"), F.sum("_n").over(upto).alias("_rank"), F.sum("_n").over(total).alias("_m"))
-    ranked = ranked.withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_rank"))
-    q = ranked.select("_p", F.least(F.lit(1.0), F.min("_raw").over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias(out))
+    value = F.col("_p")
+    counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    tiny = F.when(value > 0, -F.least(F.ceil(-F.log2(F.when(value > 0, value))), F.lit(1100))).otherwise(F.lit(-1200))
+    counts = counts.withColumn("_g", F.when(value >= 1 / 4096, F.floor(value * 4096)).otherwise(tiny).cast("int"))
+    up, down = Window.partitionBy("_g").orderBy("_p"), Window.partitionBy("_g").orderBy(F.desc("_p"))
+    groups = counts.groupBy("_g").agg(F.sum("_n").alias("_gn"))
+    before = F.sum("_gn").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("_gn").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = counts.join(F.broadcast(groups.select("_g", F.coalesce(before, F.lit(0)).alias("_before"), total.alias("_m"))), "_g")  # a row per range
+    rank = F.col("_before") + F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    raw = placed.select("_g", "_p", (value * F.col("_m") / rank).alias("_raw"))
+    later = F.min("_least").over(Window.orderBy(F.desc("_g")).rowsBetween(Window.unboundedPreceding, -1))
+    beyond = raw.groupBy("_g").agg(F.min("_raw").alias("_least")).select("_g", later.alias("_later"))
+    own = F.min("_raw").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    q = raw.withColumn("_own", own).join(F.broadcast(beyond), "_g").select("_p", F.least(F.lit(1.0), "_own", "_later").alias(out))
     return df.join(q, df[p] == q["_p"], "left").drop("_p")

@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..config import DEFAULT, FlagRule
 
 #: A token: an ASCII letter, then ASCII letters, digits or apostrophes, between word borders.
 TOKEN = r"\b[A-Za-z][A-Za-z0-9']*\b"
-SPACES = r"(?U)\s+"
-#: The five predefined entities and the no-break space.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: White space of any script, and the four separators of ASCII.
+SPACES = r"(?U)[\s\x1C-\x1F]+"
+#: A character reference of HTML, by number or name, with or without its semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _decoded(found: pd.Series) -> pd.Series:
+    return found.map(lambda x: None if x is None else [html.unescape(r) for r in x])
 
 
 def unescape(c: Column) -> Column:
-    """Decode the predefined entities; `&amp;` last, so nothing is decoded twice."""
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Decode every character reference of HTML, none twice. Only the references themselves go to Python, whose table of names is complete."""
+    between = F.split(c, REFERENCE, -1)
+    decoded = _decoded(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)))
+    return F.array_join(F.zip_with(between, decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def clean_text(c: Column) -> Column:
-    """Entities decoded, tags and runs of white space as one space, trimmed."""
+    """References decoded, tags and runs of white space as one space, trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(unescape(c), "<[^>]+>", " "), SPACES, " "))
 
 
@@ -39,7 +53,7 @@ def normalize_for_matching(c: Column) -> Column:
 
 def split_semicolons(c: Column) -> Column:
     """Trimmed, non-empty parts; null gives an empty array."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), strip), lambda x: x != "")
 
 
 def tokens(c: Column, stopwords: Sequence[str] | None = DEFAULT.stopwords) -> Column:
@@ -67,19 +81,19 @@ def quote_pattern(c: Column) -> Column:
 
 
 def term_pattern(c: Column) -> Column:
-    """Whole words, any white space between them, any case."""
-    return F.concat(F.lit(r"(?i)\b"), F.array_join(F.transform(F.split(F.trim(c), r"\s+"), quote_pattern), r"\s+"), F.lit(r"\b"))
+    """Whole words of any script, any white space between them, any case."""
+    return F.concat(F.lit(r"(?iU)\b"), F.array_join(F.transform(F.split(F.trim(c), r"\s+"), quote_pattern), r"\s+"), F.lit(r"\b"))
 
 
-#: Redaction classes in their order, which matters.
+#: Redaction classes in their order, which matters; letters count in either case.
 REDACTIONS = (
     ("[SSN]", r"\b\d{3}-\d{2}-\d{4}\b"),
     ("[EMAIL]", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
     ("[PHONE]", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
-    ("[RECORD_ID]", r"(?i)\b(?:MRN|medical record|record id|patient id)\s*[:#]?\s*[A-Z0-9-]+\b"),
-    ("[ROOM]", r"(?i)\b(?:room|rm|bed)\s*#?\s*\d+[A-Z]?\b"),
-    ("[DATE]", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"),
-    ("[DATE]", r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:,\s*\d{2,4})?\b"),
+    ("[RECORD_ID]", r"(?i)\b(?:MRN|medical record|record number|account number)\s*[:#]?\s*[A-Z0-9-]+\b"),
+    ("[ROOM]", r"(?i)\b(?:room|rm)\s*#?\s*[A-Z]?\d{1,4}[A-Z]?\b"),
+    ("[DATE]", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"),
+    ("[DATE]", r"(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{2,4}\b"),
     ("[ZIP]", r"\b\d{5}-\d{4}\b"),
 )
 
@@ -114,7 +128,7 @@ def seconds_to_stamp(c: Column) -> Column:
 
 
 def is_nonempty(c: Column, empty_words: Sequence[str] = DEFAULT.empty_words) -> Column:
-    return c.isNotNull() & ~F.lower(F.trim(c)).isin(*empty_words)
+    return c.isNotNull() & ~F.lower(strip(c)).isin(*empty_words)
 
 
 def safe_bool(c: Column) -> Column:

@@ -94,6 +94,16 @@ def heuristic_audit(turns: DataFrame, audit: DataFrame | None = None, config: Co
     return own if audit is None else audit.unionByName(own, allowMissingColumns=True)
 
 
+def prompt_types(audit: DataFrame) -> DataFrame:
+    """prompt_type (unknown for null), flags; most first."""
+    return audit.groupBy(F.coalesce("prompt_type", F.lit("unknown")).alias("prompt_type")).agg(F.count(F.lit(1)).alias("flags")).orderBy(F.desc("flags"), "prompt_type")
+
+
+def leading_scores(audit: DataFrame) -> DataFrame:
+    """leading_score, flags: the distribution of the audit's scores."""
+    return audit.groupBy("leading_score").agg(F.count(F.lit(1)).alias("flags")).orderBy("leading_score")
+
+
 PACKET_COLUMNS = (
     "finding_id finding_type domain_area theme_label theme_cluster one_sentence_description customer_quote customer_speaker roles_affected workflow_step current_coping_or_workaround "
     "consequence evidence_strength pain_severity urgency commercial_relevance customer_origin leading_or_contaminated confidence call_id customer_id"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Config
+from ..config import DEFAULT, Config, Pattern
 from ..functions import stats as st
 from ..functions import text as tx
 from .themes import with_size
@@ -29,7 +31,9 @@ def term_frequencies(turns: DataFrame, customers: DataFrame, role: str = "custom
     Rates are per thousand single tokens of the role; prevalence is over all customers.
     """
     top = config.top_terms if top is None else top
-    toks = customer_tokens(of_role(turns, role), config)
+    own = of_role(turns, role)
+    # single words need no more than their turn; longer terms can cross turns
+    toks = own.select("customer_id", tx.tokens(F.col("text"), config.stopwords).alias("tokens")) if n == 1 else customer_tokens(own, config)
     total = toks.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long").alias("_total"))
     terms = toks.select("customer_id", F.explode(tx.ngrams(F.col("tokens"), n)).alias("term"))
     per = terms.groupBy("term", "customer_id").agg(F.count(F.lit(1)).alias("c"))
@@ -80,22 +84,37 @@ def role_contrast(turns: DataFrame, top: int = 200, config: Config = DEFAULT) ->
     )
 
 
-def _category_pattern(terms: tuple[str, ...]) -> str:
-    """One alternation of a category's terms, longest first, as whole words with flexible white space."""
-    import re
+def entry_pattern(entry: str | Pattern) -> str:
+    """A lexicon entry as a regular expression: a pattern as it is, plain words as whole words with any white space between them; in any case."""
+    if isinstance(entry, Pattern):
+        return f"(?iU){entry.regex}"
+    return r"(?iU)\b" + r"\s+".join(re.escape(w) for w in entry.split()) + r"\b"
+
 
-    parts = [r"\s+".join(re.escape(w) for w in t.split()) for t in sorted(terms, key=lambda t: (-len(t), t))]
-    return r"(?i)\b(?:" + "|".join(parts) + r")\b"
+def entry_term(entry: str | Pattern) -> str:
+    """The plain words of a lexicon entry, in lower case: of a pattern, what is left without optional parts, with the first of alternatives."""
+    if not isinstance(entry, Pattern):
+        return " ".join(entry.lower().split())
+    t = re.sub(r"\\[bB]|[\^$]", "", entry.regex)
+    t = re.sub(r"\\s[+*?]?|\[[^\]]*\\s[^\]]*\][+*?]?", " ", t)
+    while (less := re.sub(r"\((?:\?:)?[^()]*\)[?*]", "", t)) != t:
+        t = less
+    while (less := re.sub(r"\((?:\?:)?([^()|]*)[^()]*\)", r"\1", t)) != t:
+        t = less
+    t = re.sub(r".[?*]", "", t)
+    return " ".join(re.sub(r"[^\w' ]", " ", t).lower().split())
 
 
 def lexicon_by_customer(turns: DataFrame, customers: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """customer_id and one count per category: all matches in the customer's own words; customers who say nothing have zeros.
+    """customer_id and one count per category: all matches of all its entries in the customer's own words; customers who say nothing have zeros.
 
-    Terms don't span turns, so turns are counted one by one and added up before any shuffle.
+    Matches don't span turns, so turns are counted one by one and added up before any shuffle.
     """
     own = of_role(turns, "customer")
     names = sorted(config.lexicon)
-    counts = own.select("customer_id", *[F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_category_pattern(config.lexicon[c]))).alias(c) for c in names])
+    text = F.coalesce("text", F.lit(""))
+    of = lambda c: sum((F.regexp_count(text, F.lit(entry_pattern(e))) for e in config.lexicon[c]), F.lit(0))
+    counts = own.select("customer_id", *[of(c).alias(c) for c in names])
     sums = counts.groupBy("customer_id").agg(*[F.sum(c).cast("long").alias(c) for c in names])
     return customers.select("customer_id").distinct().join(sums, "customer_id", "left").na.fill(0, names)
 
@@ -142,15 +161,19 @@ def candidate_terms(phrases: DataFrame, words: DataFrame, lexicon: list[str] | t
 def _mentions(turns: DataFrame, terms: list[str]) -> DataFrame:
     """call_id, turn_index, role, speaker, term: turns in which a term occurs as whole words.
 
-    Terms are told apart by their number of words; runs of that many words of a turn are matched
-    by an equal join with the term list, so a turn costs its words, not the number of terms.
+    An equal join of the runs of words of a turn with those of the terms picks the pairs that
+    the whole-word pattern then confirms, so a turn costs its words, not the number of terms. A
+    term without a letter or digit has none and is found nowhere.
     """
     spark = turns.sparkSession
-    listed = spark.createDataFrame([(t, " ".join(t.lower().split())) for t in terms], "term string, key string") if terms else spark.createDataFrame([], "term string, key string")
-    base = turns.select("call_id", "turn_index", F.lower(F.trim(F.col("speaker_role"))).alias("role"), "speaker", F.regexp_extract_all(tx.normalize_for_matching(F.coalesce("text", F.lit(""))), F.lit(r"[a-z0-9']+|[^a-z0-9'\s]+"), F.lit(0)).alias("w"))
-    sizes = sorted({len(t.split()) for t in terms})
+    words = {t: re.findall(r"\w+", t.lower()) for t in terms}
+    listed = spark.createDataFrame([(t, " ".join(w)) for t, w in words.items() if w], "term string, key string")
+    text = tx.normalize_for_matching(F.coalesce("text", F.lit("")))
+    base = turns.select("call_id", "turn_index", F.lower(F.trim(F.col("speaker_role"))).alias("role"), "speaker", text.alias("t")).withColumn("w", F.regexp_extract_all("t", F.lit(r"(?U)\w+"), F.lit(0)))
+    sizes = sorted({len(w) for w in words.values() if w})
     runs = F.array_distinct(F.concat(*[tx.ngrams(F.col("w"), n) for n in sizes])) if sizes else F.expr("cast(array() as array<string>)")
-    return base.select("call_id", "turn_index", "role", "speaker", F.explode(runs).alias("key")).join(F.broadcast(listed), "key").drop("key")
+    picked = base.select("call_id", "turn_index", "role", "speaker", "t", F.explode(runs).alias("key")).join(F.broadcast(listed), "key")  # the list of terms
+    return picked.filter(matches(F.col("t"), F.col("term"))).drop("key", "t")
 
 
 def term_introduction(turns: DataFrame, terms: list[str], config: Config = DEFAULT) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,14 @@ from ..functions import text as tx
 from .findings import flags, within
 
 THEME = "theme_cluster"
+#: The classes of stated wishes against revealed problems, in the order they are asked for.
+GAPS = (
+    "validated revealed pain",
+    "mostly stated or hypothetical; do not trust yet",
+    "high contamination risk",
+    "single-customer watchlist",
+    "mixed evidence; needs targeted follow-up",
+)
 
 
 def _share(c: str) -> Column:
@@ -81,7 +91,7 @@ def summary(findings: DataFrame, customers: DataFrame) -> DataFrame:
         first_distinct(findings, "customer_id", None, "customer_ids", "; "),
     ]
     if "roles_affected" in findings.columns:
-        parts.append(first_distinct(findings.select(THEME, F.explode("roles_affected").alias("role")), "role", 1_000_000, "roles_affected", "; "))
+        parts.append(first_distinct(findings.select(THEME, F.explode("roles_affected").alias("role")), "role", None, "roles_affected", "; "))
     for p in parts:
         base = base.join(p, THEME, "left")
     return base.orderBy(F.desc("unique_customer_count"), F.desc("avg_evidence_strength"), F.desc("mention_count"), THEME)
@@ -220,14 +230,7 @@ def association(findings: DataFrame, customers: DataFrame) -> DataFrame:
     )
     cells = [F.col(c) for c in ("n11_both", "n10_a_only", "n01_b_only", "n00_neither")]
     measures = st.association(*cells)
-    # one log-factorial per number of customers; a row each, so the table grows with the dimension and is joined as one array
-    spark = findings.sparkSession
-    logs = spark.range(1).join(F.broadcast(size(customers))).select(
-        F.aggregate(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))), F.array(F.lit(0.0)), lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + F.log(i.cast("double")))).alias("_lf")
-    )
-    t = t.join(F.broadcast(logs))  # one row
-    lf = lambda x: F.get(F.col("_lf"), x.cast("int"))
-    t = t.withColumn("fisher_p_value", st.fisher_two_sided(*cells, lf)).drop("_lf")
+    t = t.withColumn("fisher_p_value", st.fisher_two_sided(*cells))
     t = t.withColumns({k: F.round(v, 4) for k, v in measures.items()})
     out = st.false_discovery(t, "fisher_p_value", "fisher_fdr_q_value")
     return out.orderBy(F.desc("n11_both"), F.desc("lift"), F.desc("phi"), "theme_a", "theme_b")
@@ -247,11 +250,7 @@ def want_gap(findings: DataFrame, theme_scores: DataFrame, customers: DataFrame,
     s, r, led = F.col("stated_want_customer_count"), F.col("revealed_pain_customer_count"), F.col("_led")
     sp, rp = st.ratio(s, F.col("_n")), st.ratio(r, F.col("_n"))
     kind = (
-        F.when((r >= 2) & (rp >= sp) & (led < 0.5), "validated_revealed_pain")
-        .when((s > 0) & (r == 0), "mostly_stated_or_hypothetical")
-        .when(led >= 0.5, "high_contamination_risk")
-        .when(F.col("all_customer_count") <= 1, "single_customer_watchlist")
-        .otherwise("mixed_evidence")
+        F.when((r >= 2) & (rp >= sp) & (led < 0.5), GAPS[0]).when((s > 0) & (r == 0), GAPS[1]).when(led >= 0.5, GAPS[2]).when(F.col("all_customer_count") <= 1, GAPS[3]).otherwise(GAPS[4])
     )
     out = g.select(
         THEME,
@@ -305,19 +304,18 @@ def draws(customers: DataFrame, reps: int, seed: int) -> DataFrame:
     A draw is the first 32 bits of md5(seed|rep|slot) modulo the number of customers in id order,
     so any engine can repeat it. All themes use the same draws.
     """
-    n = size(customers)
     ids = customers.select("customer_id").distinct()
-    # places in id order: ids are counted per prefix, and a prefix's place comes from the counts
-    # of those before it, so no task numbers all customers
-    part = ids.withColumn("_g", F.substring("customer_id", 1, 4))
+    # places in id order: ids are counted by the characters after the beginning that all share,
+    # and a group's place comes from the counts of those before it, so no task numbers all customers
+    n, first, last = ids.agg(F.count("customer_id"), F.min("customer_id"), F.max("customer_id")).first()  # one row
+    shared = len(os.path.commonprefix([first or "", last or ""]))
+    part = ids.filter("customer_id is not null").withColumn("_g", F.substring("customer_id", shared + 1, 4))
     upto = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     before = part.groupBy("_g").agg(F.count(F.lit(1)).alias("_c")).select("_g", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_g").orderBy("customer_id"))
     numbered = part.withColumn("_local", local).join(before, "_g").select("customer_id", (F.col("_before") + F.col("_local") - 1).alias("_i"))
-    slots = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("slot"), "_n").filter("_n > 0")
-    spark = customers.sparkSession
-    each = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(slots)
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n")
+    each = customers.sparkSession.range(reps * n).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), (F.col("id") % max(n, 1)).alias("slot"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % max(n, 1)
     counted = each.groupBy("rep", pick.alias("_i")).agg(F.count(F.lit(1)).alias("weight"))
     return counted.join(numbered, "_i").select("rep", "customer_id", "weight")
 

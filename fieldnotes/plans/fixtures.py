@@ -136,14 +136,14 @@ base as (
 ), customers as (
   select distinct customer_id from findings union all select unnest(['C99990', 'C99991', 'C99992', 'C99993', 'C99994'])
 ), flags as (
-  select *, lower(trim(current_coping_or_workaround)) not in ('', 'none') as has_workaround, lower(trim(consequence)) not in ('', 'none') as has_consequence,
+  select *, lower(trim(current_coping_or_workaround)) not in ('', 'none', 'n/a', 'na', 'unknown', 'not stated', 'not mentioned', 'unclear', 'null', 'no') as has_workaround, lower(trim(consequence)) not in ('', 'none', 'n/a', 'na', 'unknown', 'not stated', 'not mentioned', 'unclear', 'null', 'no') as has_consequence,
     customer_origin in ('spontaneous', 'lightly_prompted') as clean_customer_origin,
     customer_origin in ('spontaneous', 'lightly_prompted') and not leading_or_contaminated as clean_signal,
     customer_origin in ('spontaneous', 'lightly_prompted') and not leading_or_contaminated and evidence_strength >= 4 as strong_signal,
     leading_or_contaminated or interviewer_prompt_type like '%feature%' or customer_quote like 'i wish %' as stated_want_signal,
     customer_origin in ('spontaneous', 'lightly_prompted') and not leading_or_contaminated and evidence_strength >= 4
       and (finding_type like '%pain%' or finding_type like '%workflow%')
-      and (lower(trim(current_coping_or_workaround)) not in ('', 'none') or lower(trim(consequence)) not in ('', 'none')) as revealed_pain_signal
+      and (lower(trim(current_coping_or_workaround)) not in ('', 'none', 'n/a', 'na', 'unknown', 'not stated', 'not mentioned', 'unclear', 'null', 'no') or lower(trim(consequence)) not in ('', 'none', 'n/a', 'na', 'unknown', 'not stated', 'not mentioned', 'unclear', 'null', 'no')) as revealed_pain_signal
   from findings
 )"""
 

@@ -51,7 +51,7 @@ def statistics(turns: DataFrame, findings: DataFrame, audit: DataFrame, metadata
     stats = themes.statistics(findings, customers, config)
     words = language.term_frequencies(turns, customers, n=1, config=config)
     phrases = language.phrase_frequencies(turns, customers, config=config)
-    terms = language.candidate_terms(phrases, words, [t for v in config.lexicon.values() for t in v], config.top_terms)
+    terms = language.candidate_terms(phrases, words, [language.entry_term(t) for v in config.lexicon.values() for t in v], config.top_terms)
     out = {
         "theme_statistics": stats.join(themes.bootstrap(findings, customers, config), themes.THEME, "left") if reps else stats,
         "theme_customer_matrix": themes.customer_matrix(findings, customers),
@@ -70,8 +70,8 @@ def statistics(turns: DataFrame, findings: DataFrame, audit: DataFrame, metadata
     return out
 
 
-def stats(spark: SparkSession, project: str, outputs: str | None = None, config: Config = DEFAULT) -> Result:
-    """Statistics over the tables that an earlier run wrote."""
+def stats(spark: SparkSession, project: str, outputs: str | None = None, config: Config = DEFAULT, charts: bool = True) -> Result:
+    """Statistics over the tables that an earlier run wrote, as Parquet or CSV."""
     folder = transcripts.find_outputs(spark, project, outputs)
     if folder is None:
         raise FileNotFoundError(f"no outputs of an earlier run in {project}")
@@ -80,13 +80,18 @@ def stats(spark: SparkSession, project: str, outputs: str | None = None, config:
     audit = transcripts.read_saved(spark, f"{folder}/interviewer_audit", AUDIT)
     tables = statistics(turns, findings, audit, None, config)
     sinks.write_tables(tables, f"{folder}/analytics")
+    if charts:
+        sinks.write_tables(sinks.chart_tables(tables), f"{folder}/charts")
     text = sinks.report(tables)
     sinks.save_text(spark, text, f"{folder}/analytics/report.md")
     return Result(tables, report=text)
 
 
-def run(spark: SparkSession, project: str, outputs: str | None = None, config: Config = DEFAULT, plugins: Plugins | None = None, parse_only: bool = False, limit: int | None = None, redact: bool = True, with_stats: bool = True) -> Result:
-    """Parse, chunk, extract, audit, cluster, summarise, and compute statistics; every table is written below the outputs folder."""
+def run(spark: SparkSession, project: str, outputs: str | None = None, config: Config = DEFAULT, plugins: Plugins | None = None, parse_only: bool = False, limit: int | None = None, redact: bool = True, with_stats: bool = True, charts: bool = True) -> Result:
+    """Parse, chunk, extract, audit, cluster, summarise, and compute statistics; every table is written below the outputs folder.
+
+    Prompts that have a usable reply from an earlier run aren't asked again.
+    """
     plugins = plugins or Plugins()
     folder = outputs or f"{project}/outputs"
     metadata_path = f"{project}/metadata.csv"
@@ -105,12 +110,11 @@ def run(spark: SparkSession, project: str, outputs: str | None = None, config: C
     if parse_only:
         return Result(tables | {"parsed_turns": turns}, errors)
     shown = calls.chunks(transcripts.redact_with(turns, plugins.redactor) if redact and plugins.redactor else turns, config)
-    prompts = calls.prompts(calls.limit_chunks(shown, limit), redact)
+    prompts = sinks.keyed(calls.prompts(calls.limit_chunks(shown, limit), redact))
     # replies cost most and differ between runs, so they are written once and read back
-    replies = extractor.extract(prompts, plugins.extractor or (lambda: extractor.rule_based(config)))
+    replies = extractor.extract(sinks.pending(prompts, folder), plugins.extractor or (lambda: extractor.rule_based(config)))
     sinks.write_replies(replies.drop("prompt"), folder)
-    saved = spark.read.schema("chunk_id string, call_id string, customer_id string, file_name string, start_turn_index int, end_turn_index int, reply string, error string").json(f"{folder}/raw_replies")
-    found, audit = fd.from_replies(saved.drop("error"))
+    found, audit = fd.from_replies(sinks.usable(prompts, folder))
     audit = conform(fd.heuristic_audit(turns, audit, config), AUDIT)
     found = found.withColumn("finding_id", F.xxhash64(*[c for c in found.columns if c != "roles_affected"]))
     found = conform(clusters.cluster_themes(found, plugins.embedder, "finding_id", config), f"finding_id long, {FINDING}")
@@ -130,6 +134,8 @@ def run(spark: SparkSession, project: str, outputs: str | None = None, config: C
         tables |= analytics
         text = sinks.report(analytics)
         sinks.save_text(spark, text, f"{folder}/analytics/report.md")
+    if charts:
+        sinks.write_tables(sinks.chart_tables(tables), f"{folder}/charts")
     if (said := sinks.synthesis(packet, plugins.writer)) is not None:
         sinks.save_text(spark, said, f"{folder}/synthesis.md")
     return Result(tables, errors, packet, text)

@@ -25,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 LEXICON = {"articles": ("the", "and the"), "verbs": ("is", "are", "was"), "nouns": ("please", "thanks", "question"), "german": ("der", "die", "und")}
 RULES = (FlagRule(r"(?i)\bthe\b", 1, "says the"), FlagRule(r"(?i)\band\b", 2, "says and"), FlagRule(r"(?i)\bwas\b", 2, "says was"), FlagRule(r"(?i)\bof\b", 2, "says of"))
 FIXTURE = replace(DEFAULT, lexicon=LEXICON, flag_rules=RULES, bootstrap_reps=200, bootstrap_seed=42, max_chars=1200, overlap_turns=0)
+#: Besides the terms that the turns themselves suggest.
 TERMS = ("the", "and", "that", "was the", "of the", "and the", "is")
 
 
@@ -79,11 +80,11 @@ def talk_share_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_type_counts(s: SparkSession, d: str) -> DataFrame:
-    return fx.audit(s, d).groupBy(F.coalesce("prompt_type", F.lit("unknown")).alias("prompt_type")).agg(F.count(F.lit(1)).alias("flags"))
+    return fd.prompt_types(fx.audit(s, d))
 
 
 def leading_score_hist(s: SparkSession, d: str) -> DataFrame:
-    return fx.audit(s, d).groupBy("leading_score").agg(F.count(F.lit(1)).alias("flags"))
+    return fd.leading_scores(fx.audit(s, d))
 
 
 def _with_roles(s: SparkSession, d: str) -> DataFrame:
@@ -210,6 +211,12 @@ def theme_clusters(s: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_vectors(fx.table(s, d, "embeddings"), "vec_id", "embedding", DEFAULT.cluster_distance)
 
 
+def term_introduction(s: SparkSession, d: str) -> DataFrame:
+    """The terms that the turns' own phrases and words suggest, then those of the fixture."""
+    t, c = fx.turns(s, d), _turn_customers(s, d)
+    return language.term_introduction(t, language.candidate_terms(language.phrase_frequencies(t, c), language.term_frequencies(t, c), TERMS))
+
+
 def customer_tokens(s: SparkSession, d: str) -> DataFrame:
     t = language.customer_tokens(language.of_role(fx.turns(s, d), "customer"))
     return t.select("customer_id", F.size("tokens").cast("long").alias("tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("distinct_tokens"))
@@ -247,7 +254,7 @@ def queries() -> dict[str, Query]:
         "role_contrast": lambda s, d: language.role_contrast(t(s, d)),
         "lexicon_by_customer": lambda s, d: language.lexicon_by_customer(t(s, d), c(s, d), FIXTURE),
         "lexicon_summary": lambda s, d: language.lexicon_summary(t(s, d), c(s, d), FIXTURE),
-        "term_introduction": lambda s, d: language.term_introduction(t(s, d), list(TERMS)),
+        "term_introduction": term_introduction,
         "redact_basic": redact_basic,
         "word_counts": word_counts,
         "clean_text": clean_text,
@@ -268,7 +275,7 @@ def queries() -> dict[str, Query]:
         "packet_audit": packet_audit,
         "packet_json": packet_json,
         "dataset_totals": dataset_totals,
-        "customer_dim": lambda s, d: fx.customers(s, d),
+        "customer_dim": lambda s, d: fd.customer_dimension(fx.turns(s, d).limit(0), fx.findings(s, d)),
         "metadata_join": metadata_join,
         "metadata_unmatched": metadata_unmatched,
         "theme_clusters": theme_clusters,

@@ -95,12 +95,12 @@ select term, {n} as ngram_n, 'customer' as role, total_count, unique_customer_co
 from counts, (select count(distinct customer_id)::double as nc from turns)"""
 
 
-_LEX = {"articles": r"\b(?:and\s+the|the)\b", "german": r"\b(?:der|die|und)\b", "nouns": r"\b(?:question|please|thanks)\b", "verbs": r"\b(?:are|was|is)\b"}
+_LEX = {"articles": ("the", r"and\s+the"), "german": ("der", "die", "und"), "nouns": ("question", "please", "thanks"), "verbs": ("are", "was", "is")}
 _LEX_BY = f"""
 lex as (
   select c.customer_id, {", ".join(f"coalesce({k}, 0)::bigint as {k}" for k in _LEX)}
   from (select distinct customer_id from turns) c left join (
-    select customer_id, {", ".join(f"sum(len(regexp_extract_all({_ASCII.format('text')}, '{p}')))::bigint as {k}" for k, p in _LEX.items())} from turns where speaker_role = 'customer' group by customer_id
+    select customer_id, {", ".join("sum(" + " + ".join(f"len(regexp_extract_all({_ASCII.format('text')}, '" + "\\b" + p + "\\b" + "'))" for p in v) + f")::bigint as {k}" for k, v in _LEX.items())} from turns where speaker_role = 'customer' group by customer_id
   ) s on s.customer_id = c.customer_id
 )"""
 _LLOW, _LHIGH = _wilson("unique_customer_count", "n")
@@ -116,10 +116,10 @@ for _label, _pattern in (
     ("[SSN]", r"\b\d{3}-\d{2}-\d{4}\b"),
     ("[EMAIL]", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
     ("[PHONE]", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
-    ("[RECORD_ID]", r"(?i)\b(?:MRN|medical record|record id|patient id)\s*[:#]?\s*[A-Z0-9-]+\b"),
-    ("[ROOM]", r"(?i)\b(?:room|rm|bed)\s*#?\s*\d+[A-Z]?\b"),
-    ("[DATE]", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"),
-    ("[DATE]", r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:,\s*\d{2,4})?\b"),
+    ("[RECORD_ID]", r"(?i)\b(?:MRN|medical record|record number|account number)\s*[:#]?\s*[A-Z0-9-]+\b"),
+    ("[ROOM]", r"(?i)\b(?:room|rm)\s*#?\s*[A-Z]?\d{1,4}[A-Z]?\b"),
+    ("[DATE]", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"),
+    ("[DATE]", r"(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{2,4}\b"),
     ("[ZIP]", r"\b\d{5}-\d{4}\b"),
 ):
     _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_label}', 'g')"
@@ -167,11 +167,11 @@ from stats s join dist using (theme_cluster) join quotes using (theme_cluster) j
   from findings group by theme_cluster
 )
 select a.theme_cluster, mention_count, unique_customer_count, avg_evidence_strength, avg_pain_severity, avg_urgency, avg_commercial_relevance, led_or_contaminated_share, l.v as representative_theme_label, d.v as domain_area,
-  case when unique_customer_count <= 1 then '1 customer' when unique_customer_count >= greatest(2, ceil(n * 0.6::double)) then 'most customers' else 'several customers' end as widespread,
+  case when unique_customer_count <= 1 then '1 customer' when unique_customer_count >= greatest(2, ceil(n * 0.6::double)) then 'most' else 'several' end as widespread,
   finding_type_mix, origin_mix, sample_customer_quotes, top_descriptions, customer_ids, roles_affected
 from agg a join {_mode("theme_label")} l on l.theme_cluster = a.theme_cluster and l.i = 1 join {_mode("domain_area")} d on d.theme_cluster = a.theme_cluster and d.i = 1
 join mixes m on m.theme_cluster = a.theme_cluster join origins o on o.theme_cluster = a.theme_cluster join quotes q on q.theme_cluster = a.theme_cluster
-join {_first("one_sentence_description", 3, "top_descriptions", " || ")} x on x.theme_cluster = a.theme_cluster join {_first("customer_id", 8, "customer_ids", "; ")} y on y.theme_cluster = a.theme_cluster
+join {_first("one_sentence_description", 3, "top_descriptions", " || ")} x on x.theme_cluster = a.theme_cluster join {_first("customer_id", 1000000, "customer_ids", "; ")} y on y.theme_cluster = a.theme_cluster
 join {_first("role", 1000000, "roles_affected", "; ", "roles")} z on z.theme_cluster = a.theme_cluster"""),
     "origin_mix": ("F", False, "select theme_cluster, string_agg(v || ':' || n::varchar, '; ' order by n desc, v) as origin_mix from (select theme_cluster, customer_origin as v, count(*) as n from findings group by all) group by theme_cluster"),
     "theme_quotes": ("F", False, f"+{_QUOTES} select * from quotes"),
@@ -209,10 +209,10 @@ select theme_a, theme_b, n11 as n11_both, n10 as n10_a_only, n01 as n01_b_only,
 ), st as (select * from flags where stated_want_signal), rv as (select * from flags where revealed_pain_signal)
 select g.theme_cluster, representative_theme_label, all_customer_count, s as stated_want_customer_count, r as revealed_pain_customer_count, round(s::double / n, 4) as stated_want_prevalence, round(r::double / n, 4) as revealed_pain_prevalence,
   round(r::double / n - s::double / n, 4) as revealed_minus_stated_prevalence, case when s > 0 then round(r::double / s, 3) end as revealed_to_stated_ratio, round(led, 3) as led_or_contaminated_share,
-  case when r >= 2 and r::double / n >= s::double / n and led < 0.5 then 'validated_revealed_pain' when s > 0 and r = 0 then 'mostly_stated_or_hypothetical' when led >= 0.5 then 'high_contamination_risk'
-    when all_customer_count <= 1 then 'single_customer_watchlist' else 'mixed_evidence' end as classification,
+  case when r >= 2 and r::double / n >= s::double / n and led < 0.5 then 'validated revealed pain' when s > 0 and r = 0 then 'mostly stated or hypothetical; do not trust yet' when led >= 0.5 then 'high contamination risk'
+    when all_customer_count <= 1 then 'single-customer watchlist' else 'mixed evidence; needs targeted follow-up' end as classification,
   coalesce(stated_customers, '') as stated_customers, coalesce(revealed_customers, '') as revealed_customers, opportunity_score
-from g join stats using (theme_cluster) left join {_first("customer_id", 8, "stated_customers", "; ", "st")} using (theme_cluster) left join {_first("customer_id", 8, "revealed_customers", "; ", "rv")} using (theme_cluster)"""),
+from g join stats using (theme_cluster) left join {_first("customer_id", 1000000, "stated_customers", "; ", "st")} using (theme_cluster) left join {_first("customer_id", 1000000, "revealed_customers", "; ", "rv")} using (theme_cluster)"""),
     "sample_size": ("F", False, f"""{_STATS}, p as (select *, case when prevalence > 0 and prevalence < 1 then prevalence else 0.5::double end as pp, {_N}::bigint as n from stats)
 select theme_cluster, representative_theme_label, n as current_customer_n, prevalence as current_prevalence, ci_width as current_ci_width,
   {", ".join(f"ceil(1.96::double * 1.96::double * pp * (1.0::double - pp) / ({m}::double * {m}::double))::bigint as target_n_for_plus_minus_{k}pp, greatest(0, ceil(1.96::double * 1.96::double * pp * (1.0::double - pp) / ({m}::double * {m}::double))::bigint - n) as additional_customers_for_plus_minus_{k}pp" for k, m in ((20, 0.20), (15, 0.15), (10, 0.10)))} from p"""),
@@ -280,17 +280,6 @@ select term, cc as customer_count, ci as interviewer_count, round(1000.0::double
 ), g as (select domain_category, sum(x)::bigint as total_mentions, count(*) filter (x > 0) as unique_customer_count, count(*)::double as n, median(x) as md, sum(i * x)::double as r from ranked group by domain_category)
 select domain_category, total_mentions, unique_customer_count, round(unique_customer_count / n, 4) as prevalence, round({_LLOW}, 4) as prevalence_ci_low, round({_LHIGH}, 4) as prevalence_ci_high, round(total_mentions / n, 3) as mean_mentions_per_customer,
   round(md, 3) as median_mentions_per_customer, round(case when total_mentions > 0 then 2.0::double * r / (n * total_mentions) - (n + 1.0::double) / n else 0.0::double end, 3) as mentions_gini from g"""),
-    "term_introduction": ("T", False, rf"""
-+terms as (select unnest(['the', 'and', 'that', 'was the', 'of the', 'and the', 'is']) as term
-), said as (
-  select call_id, turn_index, speaker_role as role, speaker, ' ' || array_to_string(regexp_extract_all(trim(lower(text)), '[a-z0-9'']+|[^a-z0-9''\s]+'), ' ') || ' ' as t from turns
-), m as (select term, call_id, turn_index, role, speaker from said, terms where contains(t, ' ' || term || ' ')
-), f as (select term, call_id, min((turn_index, role, speaker)) as f, max(case when role = 'customer' then (turn_index, speaker) end) as c from m group by all
-), k as (select term, call_id, f[2] as role, f[3] as fs, c[2] as cs, coalesce(f[2] = 'interviewer' and c[1] > f[1], false) as inj from f
-), e as (select *, row_number() over (partition by term, inj order by call_id) as i from k)
-select term, count(*) as calls_seen, count(*) filter (role = 'customer') as customer_first_calls, count(*) filter (role = 'interviewer') as interviewer_first_calls, count(*) filter (inj) as interviewer_first_then_customer_later_calls,
-  round(count(*) filter (inj)::double / count(*), 4) as possible_term_injection_rate, round(count(*) filter (role = 'customer')::double / count(*), 4) as customer_origin_rate,
-  coalesce(string_agg(call_id || ': ' || fs || ' then ' || cs, ' | ' order by call_id || ': ' || fs || ' then ' || cs) filter (inj and i <= 3), '') as examples from e group by term"""),
     "redact_basic": ("", False, f"select doc_id, {_REDACT} as text from documents"),
     "word_counts": ("", False, f"select doc_id, len(regexp_extract_all({_ASCII.format('text')}, '{_TOKEN}'))::bigint as words from documents"),
     "clean_text": ("", False, rf"select page_id, trim(regexp_replace(regexp_replace({_UNESCAPE}, '<[^>]+>', ' ', 'g'), '{_UWS}', ' ', 'g')) as text from pages"),
@@ -332,7 +321,7 @@ from walk w join ends e on e.call_id = w.call_id and e.i = w.i join lines a on a
     "packet_audit": ("A", False, "select call_id, turn_index, leading_score, prompt_type from audit order by leading_score desc, call_id, turn_index limit 40"),
     "packet_json": ("F", False, """select finding_id, '{"theme_cluster":"' || theme_cluster || '","evidence_strength":' || evidence_strength::varchar || '}' as doc from (""" + "select * from findings order by evidence_strength desc, confidence desc, finding_id limit 60)"),
     "dataset_totals": ("FA", False, "select (select count(distinct customer_id) from customers) as customer_count, (select count(*) from findings) as finding_count, (select count(*) from audit) as audit_flag_count"),
-    "customer_dim": ("F", False, "select customer_id from customers"),
+    "customer_dim": ("F", False, "select distinct customer_id from findings"),
     "metadata_join": ("T", False, """
 +meta as (
   select 'conv_' || conv_id::varchar || '.vtt' as file_name, case when conv_id % 2 = 0 then 'call ' || conv_id::varchar else 'conv_' || conv_id::varchar end as call_id, 'cust ' || (conv_id % 7)::varchar as customer_id, conv_id % 3 = 0 as listed
@@ -340,8 +329,28 @@ from walk w join ends e on e.call_id = w.call_id and e.i = w.i join lines a on a
 )
 select file_name, meta.call_id, meta.customer_id, turn_index, speaker, case when listed and speaker = 'assistant' then 'interviewer' when listed and speaker in ('user', 'guest') then 'customer' when listed then 'unknown' else 'customer' end as speaker_role
 from turns join meta using (file_name)"""),
-    "metadata_unmatched": ("", False, "select 'conv_none.vtt' as file_name"),
+    "metadata_unmatched": ("T", False, """
++listed as (select 'conv_' || conv_id::varchar || '.vtt' as file_name from (select distinct conv_id from conversations where conv_id % 3 <> 1) union all select 'conv_none.vtt')
+select file_name from listed where file_name not in (select file_name from turns)"""),
 }
 
 _BI, _TRI = _terms(2).strip()[1:], _terms(3).strip()[1:]
 ORACLES["phrase_freq"] = ("T", False, f"select * from (with {_BI}) union all select * from (with {_TRI})")
+
+_ONE = _terms(1).strip()[1:]
+ORACLES["term_introduction"] = ("T", False, rf"""
++best_phrases as (select term from ({ORACLES["phrase_freq"][2]}) order by unique_customer_count desc, total_count desc, term limit 75
+), best_words as (select term from (with {_ONE}) order by unique_customer_count desc, total_count desc, term limit 75
+), given as (select unnest(['the', 'and', 'that', 'was the', 'of the', 'and the', 'is']) as term, generate_subscripts(['the', 'and', 'that', 'was the', 'of the', 'and the', 'is'], 1) as i
+), listed as (select term from best_phrases union select term from best_words
+), more as (select term, row_number() over (order by i) as i from given where term not in (select term from listed) and length(term) >= 3
+), terms as (select term from listed union all select term from more where i <= 150 - (select count(*) from listed)
+), said as (
+  select call_id, turn_index, speaker_role as role, speaker, {_ASCII.format("text")} as t from turns
+), m as (select term, call_id, turn_index, role, speaker from said, terms where regexp_matches(t, '\b' || replace(term, ' ', '\s+') || '\b')
+), f as (select term, call_id, min((turn_index, role, speaker)) as f, max(case when role = 'customer' then (turn_index, speaker) end) as c from m group by all
+), k as (select term, call_id, f[2] as role, f[3] as fs, c[2] as cs, coalesce(f[2] = 'interviewer' and c[1] > f[1], false) as inj from f
+), e as (select *, row_number() over (partition by term, inj order by call_id) as i from k)
+select term, count(*) as calls_seen, count(*) filter (role = 'customer') as customer_first_calls, count(*) filter (role = 'interviewer') as interviewer_first_calls, count(*) filter (inj) as interviewer_first_then_customer_later_calls,
+  round(count(*) filter (inj)::double / count(*), 4) as possible_term_injection_rate, round(count(*) filter (role = 'customer')::double / count(*), 4) as customer_origin_rate,
+  coalesce(string_agg(call_id || ': ' || fs || ' then ' || cs, ' | ' order by call_id || ': ' || fs || ' then ' || cs) filter (inj and i <= 3), '') as examples from e group by term""")

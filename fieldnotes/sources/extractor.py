@@ -1,15 +1,18 @@
-"""The extractor: a plug-in that answers prompts with JSON, and an offline stand-in for it."""
+"""The extractor: a plug-in that answers prompts with JSON, a client for local chat servers, and an offline stand-in."""
 
 from __future__ import annotations
 
 import json
 import re
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DataType, StructType
 
-from ..config import DEFAULT, Config
+from ..config import DEFAULT, Config, Pattern
+from ..schemas import REPLY
 
 #: (prompt, whether to ask for the reply's schema) to reply text.
 Client = Callable[[str, bool], str]
@@ -31,6 +34,39 @@ def parse(reply: str) -> dict:
     return found
 
 
+def json_schema(kind: DataType) -> dict:
+    """A data type as JSON schema; every field of an object is required."""
+    if isinstance(kind, StructType):
+        return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind.fields}, "required": [f.name for f in kind.fields]}
+    if isinstance(kind, ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType)}
+    return {"type": {"int": "integer", "bigint": "integer", "double": "number", "boolean": "boolean"}.get(kind.simpleString(), "string")}
+
+
+def chat(server: str, model: str, context: int = 32768, system: str = "", timeout: float = 600.0) -> Callable[[str, dict | str | None], str]:
+    """(prompt, format) to reply text of a model behind a local chat server: JSON over HTTP at `/api/chat`, temperature 0."""
+
+    def call(prompt: str, form: dict | str | None = None) -> str:
+        messages = [*([{"role": "system", "content": system}] if system else []), {"role": "user", "content": prompt}]
+        body = {"model": model, "messages": messages, "stream": False, "options": {"temperature": 0} | ({"num_ctx": context} if context > 0 else {})}
+        request = urllib.request.Request(f"{server.rstrip('/')}/api/chat", json.dumps(body | ({"format": form} if form else {})).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.load(answer)["message"]["content"].strip()
+
+    return call
+
+
+def chat_client(server: str, model: str, context: int = 32768, system: str = "") -> Callable[[], Client]:
+    """Makes extractor clients that ask for the reply's schema, or for any JSON object where a server rejects schemas."""
+    schema = StructType.fromDDL(REPLY).jsonValue()  # plain data, so that it travels to the tasks
+
+    def make() -> Client:
+        call, form = chat(server, model, context, system), json_schema(StructType.fromJson(schema))
+        return lambda prompt, with_schema: call(prompt, form if with_schema else "json")
+
+    return make
+
+
 def ask(client: Client, prompt: str, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> str:
     """A reply that parses: with the schema first, else without; after a failure the prompt says what went wrong, and the next try waits longer."""
     said = prompt
@@ -77,7 +113,7 @@ _LINE = re.compile(r"^\[[^\]]*\] (\w+) \| ([^:]*): (.*)$", re.M)
 
 def rule_based(config: Config = DEFAULT) -> Client:
     """A stand-in without a model, by rules of this library: customers' lines with a lexicon term become findings, flagged interviewer lines audit rows."""
-    lexicon = {k: re.compile(r"(?i)\b(?:" + "|".join(map(re.escape, v)) + r")\b") for k, v in sorted(config.lexicon.items())}
+    lexicon = {k: re.compile("(?i)" + "|".join(e.regex if isinstance(e, Pattern) else rf"\b{re.escape(e)}\b" for e in v)) for k, v in sorted(config.lexicon.items()) if v}
     want = re.compile("(?i)" + "|".join(config.want_patterns)) if config.want_patterns else None
 
     def client(prompt: str, with_schema: bool) -> str:

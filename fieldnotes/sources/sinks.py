@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ..operators import calls, themes
 from ..operators import findings as fd
 from .transcripts import _exists
 
@@ -34,18 +35,35 @@ def write_tables(tables: dict[str, DataFrame], folder: str, csv: bool = True) ->
             flat(df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")).write.mode("overwrite").option("escape", '"').csv(f"{folder}/csv/{name}", header=True)
 
 
+REPLIES = "chunk_id string, call_id string, customer_id string, file_name string, start_turn_index int, end_turn_index int, prompt_key string, reply string, error string"
+
+
+def keyed(prompts: DataFrame) -> DataFrame:
+    """Add prompt_key, the SHA-256 of the prompt: a reply belongs to what was asked, not just to a chunk's name."""
+    return prompts.withColumn("prompt_key", F.sha2("prompt", 256))
+
+
 def write_replies(replies: DataFrame, folder: str) -> None:
-    """Raw replies as JSON lines, a folder per call, so that done chunks can be skipped."""
-    replies.write.mode("overwrite").partitionBy("call_id").json(f"{folder}/raw_replies")
+    """Add raw replies as JSON lines, a folder per call, to those of earlier runs."""
+    replies.write.mode("append").partitionBy("call_id").json(f"{folder}/raw_replies")
 
 
-def pending(prompts: DataFrame, folder: str) -> DataFrame:
-    """Prompts whose chunk has no usable reply in the folder yet."""
-    spark = prompts.sparkSession
+def read_replies(spark: SparkSession, folder: str) -> DataFrame:
     if not _exists(spark, f"{folder}/raw_replies"):
-        return prompts
-    done = spark.read.schema("chunk_id string, error string").json(f"{folder}/raw_replies").filter("error is null").select("chunk_id").distinct()
-    return prompts.join(done, "chunk_id", "left_anti")
+        return spark.createDataFrame([], REPLIES)
+    return spark.read.schema(REPLIES).json(f"{folder}/raw_replies")
+
+
+def pending(prompts: DataFrame, folder: str) -> DataFrame:
+    """Prompts (prompt_key, ...) without a usable reply in the folder yet."""
+    done = read_replies(prompts.sparkSession, folder).filter("error is null").select("prompt_key").distinct()
+    return prompts.join(done, "prompt_key", "left_anti")
+
+
+def usable(prompts: DataFrame, folder: str) -> DataFrame:
+    """One usable reply of this or an earlier run for each of the prompts that has one, with the chunk's own lineage."""
+    got = read_replies(prompts.sparkSession, folder).filter("error is null").groupBy("prompt_key").agg(F.min("reply").alias("reply"))
+    return prompts.drop("prompt").join(got, "prompt_key").drop("prompt_key")
 
 
 def write_template(template: DataFrame, path: str, overwrite: bool = False) -> bool:
@@ -90,6 +108,36 @@ def report(tables: dict[str, DataFrame]) -> str:
     return "\n".join(parts)
 
 
+def chart_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What the charts show, a small table each: the core ones of a run's tables, the statistical ones of the analytics."""
+    out: dict[str, DataFrame] = {}
+
+    def add(name: str, source: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        if source in tables:
+            out[name] = make(tables[source])
+
+    def bars(df: DataFrame) -> DataFrame:
+        return df.limit(25).withColumns({"error_plus": F.col("prevalence_ci_high") - F.col("prevalence"), "error_minus": F.col("prevalence") - F.col("prevalence_ci_low")})
+
+    roles = lambda df: themes.role_counts(df.withColumn("roles_affected", F.coalesce("roles_affected", F.expr("cast(array() as array<string>)"))))
+    add("theme_frequency", "theme_summary", lambda df: df.limit(20).select("representative_theme_label", "unique_customer_count", "mention_count", "widespread", "avg_evidence_strength", "led_or_contaminated_share"))
+    add("theme_spread_vs_severity", "theme_summary", lambda df: df.limit(20).select("representative_theme_label", "unique_customer_count", "avg_pain_severity", "mention_count", "avg_evidence_strength", "avg_urgency", "led_or_contaminated_share", "widespread"))
+    add("leading_contamination_by_theme", "theme_summary", lambda df: df.limit(20).select("representative_theme_label", "led_or_contaminated_share", "unique_customer_count", "mention_count", "origin_mix").orderBy(F.desc("led_or_contaminated_share"), "representative_theme_label"))
+    add("role_by_theme_heatmap", "extracted_findings", roles)
+    add("interviewer_leading_score_distribution", "interviewer_audit", fd.leading_scores)
+    add("interviewer_prompt_types", "interviewer_audit", fd.prompt_types)
+    add("theme_cooccurrence_network", "theme_cooccurrence", lambda df: df.limit(50))
+    add("analytics_theme_prevalence_ci", "theme_statistics", lambda df: bars(df).select("representative_theme_label", "prevalence", "error_plus", "error_minus", "customer_count", "mention_count", "clean_prevalence", "strong_prevalence", "led_or_contaminated_share", "opportunity_score"))
+    add("analytics_opportunity_score", "theme_statistics", lambda df: df.limit(25).select("representative_theme_label", "opportunity_score", "prevalence", "clean_prevalence", "strong_prevalence", "avg_pain_severity", "avg_evidence_strength", "led_or_contaminated_share"))
+    for name, source in (("word", "customer_word_frequencies"), ("phrase", "customer_phrase_frequencies")):
+        add(f"analytics_customer_{name}_frequency", source, lambda df: df.limit(30).select("term", "unique_customer_count", "total_count", "customer_prevalence", "count_per_1k_role_words"))
+    add("analytics_stated_vs_revealed", "want_gap", lambda df: df.select("representative_theme_label", "stated_want_prevalence", "revealed_pain_prevalence", "all_customer_count", "classification", "led_or_contaminated_share", "opportunity_score"))
+    add("analytics_theme_association_tests", "theme_association", lambda df: df.limit(50).select("theme_a", "theme_b", "lift", "phi", "n11_both", "jaccard", "odds_ratio_haldane", "fisher_p_value", "fisher_fdr_q_value"))
+    add("analytics_customer_talk_share_distribution", "call_metrics", calls.talk_share_histogram)
+    add("analytics_domain_lexicon_prevalence", "lexicon_summary", lambda df: df.limit(20).select("domain_category", "unique_customer_count", "total_mentions", "prevalence", "prevalence_ci_low", "prevalence_ci_high"))
+    return out
+
+
 def synthesis(packet_: dict, write: Callable[[str], str] | None) -> str | None:
     """A text about the packet by a plug-in that writes text; None without one."""
     return None if write is None else write(json.dumps(packet_, ensure_ascii=False))

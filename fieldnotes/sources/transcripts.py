@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StructType
 
 from ..config import DEFAULT, Config
 from ..functions import text as tx
@@ -85,7 +86,7 @@ def parse_text(files: DataFrame) -> DataFrame:
 
     Names have no digits. What comes before the first name is Unknown's. Times are the turn's index.
     """
-    lines = files.select("file_name", F.posexplode(F.split("raw", "\n")).alias("i", "line")).withColumn("line", F.trim("line"))
+    lines = files.select("file_name", F.posexplode(F.split("raw", "\n")).alias("i", "line")).withColumn("line", tx.strip(F.col("line")))
     lines = lines.filter("line <> ''").withColumn("name", F.regexp_extract("line", SPEAKER_LINE, 1))
     w = Window.partitionBy("file_name").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = lines.withColumns({"g": F.sum(F.when(F.col("name") != "", 1).otherwise(0)).over(w), "said": F.when(F.col("name") != "", F.regexp_extract("line", SPEAKER_LINE, 2)).otherwise(F.col("line"))})
@@ -168,10 +169,18 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_saved(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that an earlier run wrote as Parquet; an empty one of the schema if there is none."""
-    if not _exists(spark, path):
+    """A table that an earlier run wrote as Parquet, else a CSV file of that name with a header (of this or another program); an empty one of the schema if there is neither.
+
+    In CSV, lists of text are JSON arrays or parted by semicolons, and empty text is no null.
+    """
+    if _exists(spark, path):
+        return conform(spark.read.parquet(path), schema)
+    if not _exists(spark, f"{path}.csv"):
         return empty(spark, schema)
-    return conform(spark.read.parquet(path), schema)
+    raw = spark.read.option("escape", '"').option("multiLine", True).csv(f"{path}.csv", header=True)
+    of = lambda kind: [f.name for f in StructType.fromDDL(schema) if isinstance(f.dataType, kind) and f.name in raw.columns]
+    parsed = {c: tx.parse_roles(F.col(c)) for c in of(ArrayType)} | {c: tx.safe_bool(F.col(c)) for c in of(BooleanType)}
+    return conform(raw.na.fill("").withColumns(parsed), schema)
 
 
 def find_outputs(spark: SparkSession, project: str, given: str | None = None) -> str | None:
@@ -181,7 +190,7 @@ def find_outputs(spark: SparkSession, project: str, given: str | None = None) ->
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     newest = lambda glob: [str(s.getPath()) for s in sorted(fs.globStatus(fs_path(f"{project}/{glob}")) or [], key=lambda s: -s.getModificationTime())]
     for p in [given] if given else [f"{project}/outputs", *newest("outputs_big_run_*"), *newest("outputs_*")]:
-        if any(fs.exists(fs_path(f"{p}/{t}")) for t in ("parsed_turns", "extracted_findings")):
+        if any(fs.exists(fs_path(f"{p}/{t}{end}")) for t in ("parsed_turns", "extracted_findings") for end in ("", ".csv")):
             return p
     return None
 
