@@ -27,10 +27,6 @@ def _share(c: str) -> Column:
     return F.avg(F.col(c).cast("double"))
 
 
-def _customers_where(c: str) -> Column:
-    return F.count_distinct(F.when(F.col(c), F.col("customer_id")))
-
-
 def _mode(c: str) -> Column:
     """The most frequent value, the smallest of several."""
     return F.mode(c, True)
@@ -132,28 +128,49 @@ def mention_distribution(findings: DataFrame, customers: DataFrame) -> DataFrame
     )
 
 
-def statistics(findings: DataFrame, customers: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """One row per theme: prevalences with Wilson intervals, mention distribution, means, shares and the opportunity score."""
+MEANS = ("evidence_strength", "pain_severity", "urgency", "commercial_relevance")
+
+
+def _by_customer(flagged: DataFrame) -> DataFrame:
+    """One row per theme and customer, from which a theme's counts and means follow without distinct counts over findings."""
+    total = lambda c: F.sum(F.col(c).cast("double"))
+    signals = ("clean_signal", "strong_signal", "stated_want_signal", "revealed_pain_signal")
+    shares = ("leading_or_contaminated_bool", "has_workaround", "has_consequence")
+    return flagged.groupBy(THEME, "customer_id").agg(
+        F.count(F.lit(1)).alias("mentions"), *[F.bool_or(c).alias(c) for c in signals], *[total(c).alias(c) for c in (*MEANS, *shares)], *[F.count(c).alias(f"n_{c}") for c in MEANS]
+    )
+
+
+def _customers_with(c: str) -> Column:
+    return F.count(F.when(F.col(c), F.col("customer_id")))
+
+
+def _mean(c: str, n: str) -> Column:
+    return F.sum(c) / F.sum(n)
+
+
+def prevalence(findings: DataFrame, customers: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """One row per theme: prevalences with Wilson intervals, means, shares and the opportunity score."""
     f = flags(within(findings, customers), config)
-    base = f.groupBy(THEME).agg(
-        _mode("theme_label").alias("representative_theme_label"),
-        _mode("domain_area").alias("domain_area"),
-        F.count_distinct("customer_id").alias("customer_count"),
-        _customers_where("clean_signal").alias("clean_customer_count"),
-        _customers_where("strong_signal").alias("strong_customer_count"),
-        F.count(F.lit(1)).alias("mention_count"),
-        *[F.avg(F.col(c).cast("double")).alias(f"_{c}") for c in ("evidence_strength", "pain_severity", "urgency", "commercial_relevance")],
-        _share("leading_or_contaminated_bool").alias("_led"),
-        _share("has_workaround").alias("_work"),
-        _share("has_consequence").alias("_cons"),
+    base = _by_customer(f).groupBy(THEME).agg(
+        F.count("customer_id").alias("customer_count"),
+        _customers_with("clean_signal").alias("clean_customer_count"),
+        _customers_with("strong_signal").alias("strong_customer_count"),
+        F.sum("mentions").alias("mention_count"),
+        *[_mean(c, f"n_{c}").alias(f"_{c}") for c in MEANS],
+        _mean("leading_or_contaminated_bool", "mentions").alias("_led"),
+        _mean("has_workaround", "mentions").alias("_work"),
+        _mean("has_consequence", "mentions").alias("_cons"),
     )
+    labels = f.groupBy(THEME).agg(_mode("theme_label").alias("representative_theme_label"), _mode("domain_area").alias("domain_area"))
+    base = base.join(labels, THEME)
     base = with_size(base, customers)
     n = F.col("_n")
     low, high = st.wilson(F.col("customer_count"), n)
     clow, chigh = st.wilson(F.col("clean_customer_count"), n)
     prev, clean, strong = (st.ratio(F.col(c), n) for c in ("customer_count", "clean_customer_count", "strong_customer_count"))
     score = st.opportunity_score(prev, clean, strong, F.col("_pain_severity"), F.col("_evidence_strength"), F.col("_urgency"), F.col("_commercial_relevance"), F.col("_work"), F.col("_led"))
-    out = base.select(
+    return base.select(
         THEME,
         "representative_theme_label",
         "domain_area",
@@ -175,7 +192,12 @@ def statistics(findings: DataFrame, customers: DataFrame, config: Config = DEFAU
         F.round("_cons", 3).alias("consequence_share"),
         score.alias("opportunity_score"),
     )
-    out = out.join(mention_distribution(f, customers), THEME).join(first_distinct(f, "customer_id", 8, "sample_customer_ids", "; "), THEME, "left").join(quotes(f), THEME, "left")
+
+
+def statistics(findings: DataFrame, customers: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """prevalence, with the distribution of mentions and samples of customers and quotes; best score first."""
+    f = within(findings, customers)
+    out = prevalence(findings, customers, config).join(mention_distribution(f, customers), THEME).join(first_distinct(f, "customer_id", 8, "sample_customer_ids", "; "), THEME, "left").join(quotes(f), THEME, "left")
     return out.orderBy(F.desc("opportunity_score"), F.desc("customer_count"), F.desc("avg_evidence_strength"), THEME)
 
 
@@ -239,13 +261,13 @@ def association(findings: DataFrame, customers: DataFrame) -> DataFrame:
 def want_gap(findings: DataFrame, theme_scores: DataFrame, customers: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Stated wishes against revealed problems per theme, with a class and the ids of all customers on either side."""
     f = flags(within(findings, customers), config)
-    g = f.groupBy(THEME).agg(
-        _mode("theme_label").alias("representative_theme_label"),
-        F.count_distinct("customer_id").alias("all_customer_count"),
-        _customers_where("stated_want_signal").alias("stated_want_customer_count"),
-        _customers_where("revealed_pain_signal").alias("revealed_pain_customer_count"),
-        _share("leading_or_contaminated_bool").alias("_led"),
+    g = _by_customer(f).groupBy(THEME).agg(
+        F.count("customer_id").alias("all_customer_count"),
+        _customers_with("stated_want_signal").alias("stated_want_customer_count"),
+        _customers_with("revealed_pain_signal").alias("revealed_pain_customer_count"),
+        _mean("leading_or_contaminated_bool", "mentions").alias("_led"),
     )
+    g = g.join(f.groupBy(THEME).agg(_mode("theme_label").alias("representative_theme_label")), THEME)
     g = with_size(g, customers)
     s, r, led = F.col("stated_want_customer_count"), F.col("revealed_pain_customer_count"), F.col("_led")
     sp, rp = st.ratio(s, F.col("_n")), st.ratio(r, F.col("_n"))

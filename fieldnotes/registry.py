@@ -53,12 +53,12 @@ def finding_flags(s: SparkSession, d: str) -> DataFrame:
 
 def want_gap(s: SparkSession, d: str) -> DataFrame:
     f, c = _fc(s, d)
-    return themes.want_gap(f, themes.statistics(f, c), c)
+    return themes.want_gap(f, themes.prevalence(f, c), c)
 
 
 def sample_size(s: SparkSession, d: str) -> DataFrame:
     f, c = _fc(s, d)
-    return themes.sample_size(themes.statistics(f, c), c)
+    return themes.sample_size(themes.prevalence(f, c), c)
 
 
 def theme_association(s: SparkSession, d: str) -> DataFrame:
