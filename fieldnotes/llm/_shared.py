@@ -59,7 +59,7 @@ def save(df: DataFrame, n: int | None = None) -> DataFrame:
     before = spark.conf.get(cleanup, None)
     spark.conf.set(cleanup, "true")
     try:
-        (df if n is None or n >= partitions(spark) else df.coalesce(n)).write.parquet(path)
+        (df if n is None or n >= partitions(spark) else df.coalesce(n)).write.parquet(path, compression="zstd")
     finally:
         spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -129,13 +129,14 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = with_next(ranged, ["text", "_uid"]).select("key", "_uid", F.col("next__uid").alias("_next"), n.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = save(rows.withColumn("edited_sha256", F.sha2("edited", 256)))
+    both = with_next(ranged, ["text", "_uid"]).withColumn("edited", edited)
+    # two passes over the neighbours instead of a table of the edited texts: less disk
+    rows = save(both.select("key", "_uid", F.col("next__uid").alias("_next"), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")))
+    changed = save(sketch(both.select("_uid", "edited"), "_uid", "edited"))
     own = save(sketch(ranged.select("_uid", "text"), "_uid", "text"))
-    changed = save(sketch(rows.select("_uid", "edited"), "_uid", "edited"))
     drop(ranged)
     named = lambda df, uid, name: df.select(F.col("_uid").alias(uid), F.col("fingerprint").alias(name))
-    out = rows.drop("edited").join(named(own, "_uid", "fingerprint"), "_uid", "left").join(named(changed, "_uid", "edited_fingerprint"), "_uid", "left").join(named(own, "_next", "_next_fingerprint"), "_next", "left")
+    out = rows.join(named(own, "_uid", "fingerprint"), "_uid", "left").join(named(changed, "_uid", "edited_fingerprint"), "_uid", "left").join(named(own, "_next", "_next_fingerprint"), "_next", "left")
     out = out.na.fill("", ["fingerprint", "edited_fingerprint", "_next_fingerprint"])
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
     return out.select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("_next_fingerprint").alias("near_next"))
