@@ -130,7 +130,11 @@ def _stamp(x: str) -> str:
 
 
 _LINE = f"'[' || {_stamp('\"start\"')} || '-' || {_stamp('\"end\"')} || '] ' || upper(speaker_role) || ' | ' || speaker || ': ' || text"
-_UNESCAPE = "replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+#: The character references that the pages have, `&amp;` last and with or without its semicolon.
+_UNESCAPE = "html"
+for _reference, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7")):
+    _UNESCAPE = f"replace({_UNESCAPE}, '{_reference}', '{_char}')"
+_UNESCAPE = f"regexp_replace({_UNESCAPE}, '&amp;?', '&', 'g')"
 #: White space as Unicode has it.
 _UWS = r"[\s\x0B\x{85}\x{1C}-\x{1F}\p{Z}]+"
 
