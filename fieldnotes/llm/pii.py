@@ -155,8 +155,8 @@ def _bitmap(terms: DataFrame) -> bytes:
     bit = F.explode(F.array(h.bitwiseAND(F.lit(BITS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(BITS - 1)))).alias("b")
     part = terms.select(bit).groupBy(F.shiftright("b", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("v"))
     parts = np.zeros(BITS // 32, "<u4")
-    for r in part.collect():
-        parts[r["at"]] = r["v"]
+    got = part.toArrow()
+    parts[got["at"].to_numpy()] = got["v"].to_numpy().astype("<u4")
     return parts.tobytes()
 
 
