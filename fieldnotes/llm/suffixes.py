@@ -61,7 +61,7 @@ def anchors(raw: np.ndarray, sizes: np.ndarray, length: int = LENGTH, k: int = K
     w4 = w2[:-2] | w2[2:] << np.uint64(16)
     w8 = w4[:-4] | w4[4:] << np.uint64(32)
     m = n - k + 1
-    h = mix(mix(w8[:m] * _C1 + _C2) ^ (w8[8 : 8 + m] * _C2) + w4[16 : 16 + m] * _C1)
+    h = mix((w8[:m] * _C1) ^ (w8[8 : 8 + m] * _C2) + w4[16 : 16 + m] * _C1)
     value = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(m, dtype=np.uint64)
     span, have = length - k + 1, 1
     while have * 2 <= span:
@@ -86,10 +86,6 @@ def anchors(raw: np.ndarray, sizes: np.ndarray, length: int = LENGTH, k: int = K
     return start[first], count, h[p[first]], p[first]
 
 
-#: The smallest numbers of 1 to 8 bytes.
-_BYTES = np.uint64(256) ** np.arange(8, dtype=np.uint64)
-
-
 def _eights(text: np.ndarray, words: int) -> np.ndarray:
     """At each place the next eight bytes as one number, the first one highest; zeros follow the end."""
     w = np.concatenate([text, np.zeros(words * 8, np.uint8)]).astype(np.uint64)
@@ -191,7 +187,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
         other = w[order[live] + 8 * i] ^ w[order[live - 1] + 8 * i]
         same = other == 0
         found[live[same]] += 8
-        found[live[~same]] += 8 - np.searchsorted(_BYTES, other[~same], "right")
+        x = other[~same]
+        # without the bit below each set one, no rounding reaches the next power of two
+        found[live[~same]] += 8 - (np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1] + 7) // 8
         live = live[same]
     return np.minimum(found, depth)
 
@@ -274,10 +272,18 @@ def _repeats(raw: np.ndarray, start: np.ndarray, count: np.ndarray, h: np.ndarra
     x = np.flatnonzero(several)
     if len(x):
         x = x[np.argsort(start[x])]
-        at = gather(start[x], count[x])
-        wanted = np.zeros(len(raw), bool)
-        wanted[at] = True
-        label, least = classes(raw, wanted, np.repeat(owner[x], count[x]), length)
+        # only the bytes of these runs, with a separator after each stretch
+        edge = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(edge, start[x], 1)
+        np.add.at(edge, start[x] + count[x] + length - 1, -1)
+        cover = np.cumsum(edge)[:-1] > 0
+        ends = cover & ~np.append(cover[1:], False)
+        to = np.cumsum(cover) + np.cumsum(ends) - ends - 1
+        text = np.zeros(int(cover.sum() + ends.sum()), np.uint8)
+        text[to[cover]] = raw[cover]
+        wanted = np.zeros(len(text), bool)
+        wanted[to[gather(start[x], count[x])]] = True
+        label, least = classes(text, wanted, np.repeat(owner[x], count[x]), length)
         bits[x] = _bits(least[label] < np.repeat(owner[x], count[x]), count[x])
         ends = np.cumsum(count[x])
         begin[x], end[x] = label[ends - count[x]], label[ends - 1]
@@ -356,8 +362,8 @@ def spans(docs: DataFrame, make, fields: str, key: str = "doc_id", text: str = "
             i = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
             cross = wanted[i] == h
         x = np.flatnonzero(cross)
-        _, rep, entry = np.unique(np.stack([begin[x], end[x] * 64 + count[x]]), axis=1, return_index=True, return_inverse=True) if len(x) else (x, x, x)
-        entry = entry.reshape(-1)
+        wide = 64 * (int(end.max()) + 1)  # of the second number and the count together
+        _, rep, entry = np.unique((begin[x] + len(start)) * wide + end[x] * 64 + count[x], return_index=True, return_inverse=True)
         rep = x[rep]
         least = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(least, entry, owner[x])
