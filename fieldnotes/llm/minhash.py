@@ -75,15 +75,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_lists(texts: pa.Array) -> pa.Array:
-    """The words of each text, A-Z lower-cased; a blank one has a single empty word."""
-    t = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(t))
+    """The words of each text; a blank one has a single empty word."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), "")))
 
 
 def word_hashes(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes (XXH3) of all words, text after text, and how many each text has."""
+    """64-bit hashes (XXH3) of all words (A-Z lower-cased), text after text, and how many each text has."""
     coded = lists.flatten().dictionary_encode()
-    each = np.fromiter((xxhash.xxh3_64_intdigest(w, SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    each = np.fromiter((xxhash.xxh3_64_intdigest(w.lower(), SEED) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
     code = coded.indices.to_numpy(zero_copy_only=False)
     count = np.diff(lists.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
     empty = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) == 0)[code] if len(code) else np.zeros(0, bool)
@@ -170,9 +169,10 @@ def signatures(rows: DataFrame, k: int = SHINGLE) -> DataFrame:
                 sets = _sets_of(lists, k)
                 marks = bands(sketches(sets))
                 n = np.array([len(x) for x in sets], np.int64)
-                said = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).to_pylist()
-                words = [hashlib.sha256(w.encode()).digest() if w else None for w in said]
-                whole = [None if x is None else hashlib.sha256(x.encode()).digest() for x in part.to_pylist()]
+                held = part.cast(pa.binary()).to_pylist()
+                # on bytes, lower() and split() know just A-Z and the white space between words
+                words = [hashlib.sha256(b" ".join(w)).digest() if x and (w := x.lower().split()) else None for x in held]
+                whole = [None if x is None else hashlib.sha256(x).digest() for x in held]
                 col = pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size + 1, marks.shape[1]), pa.int32()), pa.array(marks.reshape(-1)))
                 more = [pa.array(n), pa.array(words, pa.binary()), pa.array(whole, pa.binary()), col]
                 yield pa.RecordBatch.from_arrays([*b.slice(s, z - s).columns, *more], [*b.schema.names, "n_shingles", "words_key", "text_key", "bands"])
