@@ -23,8 +23,8 @@ share with each other, or if they share enough shingles outside C. A member x th
 can't link (far) is therefore looked up by its rarest shingles outside C, enough of them that a
 partner must have one: these become new buckets, of less than half the size each, which are
 families of their own where their union is too large again. The others (near) are looked up by
-all of theirs, and compared with the members nearest to C; those that stay open with all that
-share as much with C.
+all of theirs, and compared with the members nearest to C; where some stay open, their family is
+compared in as many blocks as it takes.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing;
 fewer words than a shingle has are one shingle; repeated rows have equal words, so one class;
@@ -223,11 +223,10 @@ def _labelled(df: DataFrame, comp: DataFrame | None) -> DataFrame:
     return df.withColumn("comp", F.col("id")) if comp is None else df.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _open_pairs(x: DataFrame, y: DataFrame, fits=None) -> DataFrame:
-    """Pairs (a > b) of one family, in different components; fits: a further condition on columns of x and of y (prefixed y_)."""
+def _open_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs (a > b) of one family, in different components; y has a bounded number of rows a family."""
     other = y.select("f", *[F.col(c).alias(f"y_{c}") for c in y.columns if c != "f"])
     two = x.join(other, "f").filter(F.col("comp") != F.col("y_comp"))
-    two = two if fits is None else two.filter(fits)
     return two.select(F.greatest("id", "y_id").alias("a"), F.least("id", "y_id").alias("b")).distinct()
 
 
@@ -291,15 +290,16 @@ def _links_of_block(percent: int):
     return run
 
 
-def _in_blocks(families: DataFrame, texts: DataFrame, percent: int, k: int, blocks: int, n: int, n_text: int) -> tuple[DataFrame, DataFrame]:
-    """families: f, p, id, comp, size. Confirmed links that join the components of each family, and the families (f, p) that are too large for it."""
+def _in_blocks(families: DataFrame, texts: DataFrame, percent: int, k: int, blocks: int | None, n: int, n_text: int) -> tuple[DataFrame, DataFrame]:
+    """families: f, p, id, comp, size. Confirmed links that join the components of each family, and the families (f, p) that have open members for more blocks than `blocks` (None: none are too many)."""
     open_ = F.col("comp") != F.col("p")
     per = families.groupBy("f", "p").agg(
         F.count_if(open_).alias("q"), F.sum(F.when(open_, F.col("size")).otherwise(0)).alias("qs"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("ms")
     )
     up = lambda rows, most, sizes: F.greatest(F.lit(1), F.ceil(F.col(rows) / F.lit(most)), F.ceil(F.col(sizes) / F.lit(SHINGLE_BLOCK))).cast("int")
     per = save(per.select("f", "p", up("q", ASK_BLOCK, "qs").alias("qb"), up("m", MEMBER_BLOCK, "ms").alias("mb")), n)
-    fit = save(families.join(per.filter(F.col("qb") <= blocks).select("f", "qb", "mb"), "f"), n)
+    fits = F.lit(True) if blocks is None else F.col("qb") <= blocks
+    fit = save(families.join(per.filter(fits).select("f", "qb", "mb"), "f"), n)
     sets = save(_sets(fit.select(F.lit(0).cast("long").alias("f"), "id").distinct(), texts, k).select("id", "s"), n_text)
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -309,7 +309,7 @@ def _in_blocks(families: DataFrame, texts: DataFrame, percent: int, k: int, bloc
     found = save(rows.groupBy("f", "qi", "mj").applyInArrow(_links_of_block(percent), "a long, b long"), n_text)
     links = save(confirm(found.distinct(), texts, percent, k), n_text)
     drop(fit, sets, found)
-    return links, per.filter(F.col("qb") > blocks).select("f", "p")
+    return links, per.filter(~fits).select("f", "p")
 
 
 def _deal_anew(families: DataFrame, texts: DataFrame, comp: DataFrame | None, percent: int, k: int, small: int, n: int) -> tuple[DataFrame, DataFrame | None]:
@@ -340,10 +340,10 @@ def _deal_anew(families: DataFrame, texts: DataFrame, comp: DataFrame | None, pe
         links = save(confirm(save(_open_pairs(near, best), n), texts, percent, k), 3 * n)
         comp = _merge(comp, links, n) if not links.isEmpty() else comp
         left = save(_labelled(near.drop("comp"), comp).join(_labelled(near.select(F.col("p").alias("id")).distinct(), comp).select(F.col("id").alias("p"), F.col("comp").alias("main")), "p").filter("comp <> main").drop("main"), n)
-        if not left.isEmpty():
-            need = F.lit(percent) * (F.col("n") + F.col("y_n"))
-            both = ((100 + percent) * F.col("shared") >= need) & ((100 + percent) * F.col("y_shared") >= need)
-            links = save(confirm(save(_open_pairs(left, save(_labelled(per, comp), n), both), n), texts, percent, k), 3 * n)
+        if not left.isEmpty():  # their families whole, in as many blocks as it takes
+            main = _labelled(mains.select("f", F.col("p").alias("id")), comp).select("f", F.col("comp").alias("p"))
+            whole = _labelled(per.join(left.select("f").distinct(), "f"), comp).join(main, "f").select("f", "p", "id", "comp", F.col("n").alias("size"))
+            links, _ = _in_blocks(save(whole, n), texts, percent, k, None, n, 3 * n)
             comp = _merge(comp, links, n) if not links.isEmpty() else comp
     drop(each, counts, marked, labelled)
     return again, comp
