@@ -369,8 +369,9 @@ def _grouped(docs: DataFrame, row: Column, percent: int, key: str, text: str, k:
     spark = docs.sparkSession
     rows = signatures(docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), k)
     signed = save(rows.withColumn("uid", F.monotonically_increasing_id()))  # ids are fixed once written
-    classes = save(signed.filter("words_key is not null").groupBy("words_key").agg(F.min("uid").alias("id")))
-    heads = signed.select(F.col("uid").alias("id"), F.col("n_shingles").alias("size"), "bands", "text").join(classes.select("id"), "id")
+    first = F.min(F.struct("uid", "n_shingles", "bands")).alias("m")
+    heads = save(signed.filter("words_key is not null").groupBy("words_key").agg(first).select("words_key", F.col("m.uid").alias("id"), F.col("m.n_shingles").alias("size"), "m.bands"))
+    classes = heads.select("words_key", "id")
     buckets = save(heads.select("id", "size", F.explode("bands").alias("bucket")))
     shared = save(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     found = save(buckets.join(shared, "bucket"))
@@ -378,7 +379,7 @@ def _grouped(docs: DataFrame, row: Column, percent: int, key: str, text: str, k:
     members = save(found.select("id", "bucket").join(weight, "id"))
     drop(buckets, shared, found)
     # the texts of classes that share a bucket, once each
-    texts = save(heads.select("id", "text").join(weight.select("id"), "id"))
+    texts = save(signed.select(F.col("uid").alias("id"), "text").join(weight.select("id"), "id"))
     comp, turn = None, 0
     n_text = tasks(texts, each=2_000_000)
     while True:
