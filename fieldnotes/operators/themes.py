@@ -131,13 +131,13 @@ def mention_distribution(findings: DataFrame, customers: DataFrame) -> DataFrame
 MEANS = ("evidence_strength", "pain_severity", "urgency", "commercial_relevance")
 
 
-def _by_customer(flagged: DataFrame) -> DataFrame:
+def _by_customer(flagged: DataFrame, means: tuple[str, ...] = ()) -> DataFrame:
     """One row per theme and customer, from which a theme's counts and means follow without distinct counts over findings."""
     total = lambda c: F.sum(F.col(c).cast("double"))
     signals = ("clean_signal", "strong_signal", "stated_want_signal", "revealed_pain_signal")
     shares = ("leading_or_contaminated_bool", "has_workaround", "has_consequence")
     return flagged.groupBy(THEME, "customer_id").agg(
-        F.count(F.lit(1)).alias("mentions"), *[F.bool_or(c).alias(c) for c in signals], *[total(c).alias(c) for c in (*MEANS, *shares)], *[F.count(c).alias(f"n_{c}") for c in MEANS]
+        F.count(F.lit(1)).alias("mentions"), *[F.bool_or(c).alias(c) for c in signals], *[total(c).alias(c) for c in (*means, *shares)], *[F.count(c).alias(f"n_{c}") for c in means]
     )
 
 
@@ -152,7 +152,7 @@ def _mean(c: str, n: str) -> Column:
 def prevalence(findings: DataFrame, customers: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """One row per theme: prevalences with Wilson intervals, means, shares and the opportunity score."""
     f = flags(within(findings, customers), config)
-    base = _by_customer(f).groupBy(THEME).agg(
+    base = _by_customer(f, MEANS).groupBy(THEME).agg(
         F.count("customer_id").alias("customer_count"),
         _customers_with("clean_signal").alias("clean_customer_count"),
         _customers_with("strong_signal").alias("strong_customer_count"),
