@@ -17,6 +17,12 @@ Counts are added up per batch before any shuffle. Terms are first looked up in a
 fixed size and then joined exactly, so nothing broadcast grows with the input. Pairs that the
 documents near entities alone rule out are left before the frequencies are counted.
 
+Frequencies are counted in portions of the documents, each STEP times as many as all before it
+or so. A share only falls as a frequency rises, so a pair that the portions counted so far rule
+out is out for good, and its term is not looked up in the next, larger portion. A common word
+is thus counted in few documents, and the partial counts follow the number of candidates, not
+candidates times batches. The pairs that stay have been counted over all documents.
+
 Defined cases: null counts as the empty text; a failed check (range, Luhn, digits) drops a
 match without another try; kinds may overlap each other; rows that repeat are documents each.
 """
@@ -45,6 +51,11 @@ PRIOR = 1
 DISCLOSURE = 0.9
 #: Bits of the bitmap, a power of two.
 BITS = 1 << 24
+#: Documents of the first portion at most, on average; how many times as many the portions up to the next one hold, a power of two.
+FIRST = 4096
+STEP = 16
+#: Bytes of text that the last step holds as Python objects at a time.
+HELD_BYTES = 4_000_000
 EDGES = ".,;:!?()[]{}\"'|"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -180,7 +191,7 @@ def _hits(texts: pa.Array, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.
 
 def _known(t: str, bits: np.ndarray) -> bool:
     h = xxhash.xxh64_intdigest(t.encode(), seed=42)  # as Spark's xxhash64
-    return bool(bits[h & (BITS - 1)] and bits[(h >> 32) & (BITS - 1)])
+    return all(bits[b >> 3] >> (b & 7) & 1 for b in (h & (BITS - 1), h >> 32 & (BITS - 1)))
 
 
 def frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -188,7 +199,7 @@ def frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     packed = _bitmap(terms)
 
     def run(it):
-        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        bits = np.frombuffer(packed, np.uint8)
         for b in it:
             t = b.column(0)
             for s, z in batches(t):
@@ -199,20 +210,31 @@ def frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     return docs.select(text).mapInArrow(releasing(run), "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).join(terms, "term")
 
 
+def _portions(docs: DataFrame, n: int, text: str) -> list[DataFrame]:
+    """The n documents in disjoint portions that grow by STEP, by a hash of the text; equal texts share one."""
+    levels = 0
+    while n > FIRST * STEP**levels:
+        levels += 1
+    within = lambda k: F.xxhash64(text).bitwiseAND(F.lit(STEP**k - 1)) == 0
+    return [docs.filter(within(k) if k == levels else within(k) & ~within(k + 1)) for k in range(levels, -1, -1)]
+
+
 def disclosing(docs: DataFrame, text: str = "text", window: int = WINDOW, prior: float = PRIOR, threshold: float = DISCLOSURE) -> DataFrame:
     """The terms that disclose an entity: term, disclosure (its largest share of an entity's information)."""
     counts = save(cooccurrence(docs, text, window))
-    total = F.lit(float(docs.count()))
-    content = F.log2(total / F.col("ne"))
+    total = docs.count()
+    content = F.log2(F.lit(float(total)) / F.col("ne"))
     # mutual information as the content less the bits that the term leaves open
     share = lambda df: F.when(content > 0, 1 + F.log2(F.col("n") / (df + F.lit(float(prior)))) / content)
     entities = counts.filter("term is null").select("entity", F.col("n").alias("ne"))
     near = counts.filter("entity is null").select("term", F.col("n").alias("near"))
     pairs = counts.filter("entity is not null and term is not null").join(entities, "entity").join(near, "term")
-    pairs = save(pairs.filter(share(F.col("near")) >= threshold).drop("near"))  # df is near or more
-    df = frequencies(docs, save(pairs.select("term").distinct()), text)
-    each = pairs.join(save(df), "term")
-    return save(each.select("term", share(F.col("df")).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold))
+    pairs = save(pairs.filter(share(F.col("near")) >= threshold).withColumn("df", F.lit(0).cast("long")))
+    for part in _portions(docs, total, text):
+        more = frequencies(part, save(pairs.select("term").distinct()), text).withColumnRenamed("df", "more")
+        so_far = pairs.join(more, "term", "left").withColumn("df", F.col("df") + F.coalesce("more", F.lit(0))).drop("more")
+        pairs = save(so_far.filter(share(F.greatest("near", "df")) >= threshold))  # the whole df is neither less than near nor than df so far
+    return save(pairs.select("term", share(F.col("df")).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold))
 
 
 def _found(docs: DataFrame, text: str, carry: list[str], **how) -> DataFrame:
@@ -221,13 +243,13 @@ def _found(docs: DataFrame, text: str, carry: list[str], **how) -> DataFrame:
     bits_ = _bitmap(terms)
 
     def run(it):
-        bits = np.unpackbits(np.frombuffer(bits_, np.uint8), bitorder="little").astype(bool)
+        bits = np.frombuffer(bits_, np.uint8)
         any_ = bool(bits.any())
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         hit = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in it:
             t = b.column(1)
-            for s, z in batches(t):
+            for s, z in batches(t, HELD_BYTES):
                 part = t.slice(s, z - s)
                 held = part.to_pylist()
                 some: dict[int, set[str]] = {}
