@@ -95,14 +95,19 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        give(0)
+
+
 def releasing(run):
     """For mapInArrow: give freed memory back when a task ends, since the worker stays and idles beside the steps that follow."""
 
     def task(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
-            trim(0)
+        trim()
 
     return task
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import releasing
+from ._shared import releasing, trim
 from .bpe import batches, gather
 from .minhash import mix
 
@@ -37,6 +37,8 @@ UPDATES = 900
 TRAIN_ROWS = 6000
 THRESHOLD = 0.7
 MINIBATCH = 64
+#: Words whose n-grams are listed at a time.
+NAMES = 10_000
 RATE = 0.02
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,18 +130,28 @@ def counted(texts: pa.Array) -> tuple[list[list[str]], list[list[int]]]:
     return out, many
 
 
-def fit(words: list[list[str]], counts: list[list[int]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Learn from each text's distinct words and their counts."""
+def _flat(lists, kind: pa.DataType) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """The values of a column of lists, and how many each list has."""
+    column = lists if isinstance(lists, pa.ChunkedArray) else pa.chunked_array([pa.array(lists, pa.list_(kind))])
+    return pa.chunked_array([c.flatten() for c in column.chunks], kind), pc.list_value_length(column).to_numpy().astype(np.int64)
+
+
+def fit(words, counts, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Learn from each text's distinct words and their counts, given as lists or as Arrow columns; a Python string is made per different word only."""
     labels = np.asarray(labels, np.int64)
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(None, None, np.array([float(labels.mean()) if len(labels) else 0.0]))
-    index: dict[str, int] = {}
-    code = np.array([index.setdefault(w, len(index)) for x in words for w in x], np.int64)
-    share = np.concatenate([np.zeros(0), *(np.asarray(n) / max(1, sum(n)) for n in counts)]).astype(np.float64)
-    sizes = np.array([len(x) for x in words], np.int64)
+    said, sizes = _flat(words, pa.string())
+    many = _flat(counts, pa.int32())[0].to_numpy()
+    coded = said.dictionary_encode()
+    names = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())  # the last chunk's is whole
+    code = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)]).astype(np.int32)
     ends = np.cumsum(sizes)
-    names = list(index)
-    rows, per = subwords(names)
+    upto = np.append(0, np.cumsum(many, dtype=np.int64))
+    share = many / np.repeat(np.maximum(1, upto[ends] - upto[ends - sizes]), sizes)
+    parts = [subwords(names.slice(lo, NAMES).to_pylist()) for lo in range(0, len(names), NAMES)]
+    rows, per = (np.concatenate([np.zeros(0, np.int64 if i else np.int32), *(x[i] for x in parts)]) for i in (0, 1))
+    del said, coded, names, many, upto, parts
     first = np.cumsum(per) - per
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -195,7 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     kind = dict(docs.dtypes)[key]
     found = rows.mapInArrow(releasing(run), f"key {kind}, label long, words array<string>, counts array<int>")
     got = found.orderBy("key", "label", F.xxhash64("words", "counts")).limit(most).toArrow()  # `most` rows of distinct words
-    return fit(got["words"].to_pylist(), got["counts"].to_pylist(), got["label"].to_numpy())
+    model = fit(got["words"], got["counts"], got["label"].to_numpy())
+    del got
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
